@@ -6,15 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillsift.llm import mixing, quality_rules, secret_scan
+from quillsift.llm import byte_cnn, mixing, quality_rules, secret_scan, toxicity
 from quillsift.llm.common import documents
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to callable (spark, sf_dir)."""
     return {
+        "op2_toxicity": lambda spark, d: toxicity.query(documents(spark, d), _labels(spark, d)),
         "op3_secret_scan": lambda spark, d: secret_scan.query(documents(spark, d)),
         "op5_mixing": lambda spark, d: mixing.query(documents(spark, d)),
+        "op7_byte_cnn": lambda spark, d: byte_cnn.query(documents(spark, d), _labels(spark, d)),
         "op8_quality_rules": lambda spark, d: quality_rules.query(documents(spark, d)),
     }
 
