@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillsift.llm import byte_cnn, mixing, quality_rules, secret_scan, toxicity
+from quillsift.llm import byte_cnn, mixing, packing, quality_rules, secret_scan, topk, toxicity
 from quillsift.llm.common import documents
 
 
@@ -17,8 +17,10 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name to callable (spark, sf_dir)."""
     return {
+        "op1_topk": lambda spark, d: topk.query(spark.read.parquet(f"{d}/embeddings.parquet")),
         "op2_toxicity": lambda spark, d: toxicity.query(documents(spark, d), _labels(spark, d)),
         "op3_secret_scan": lambda spark, d: secret_scan.query(documents(spark, d)),
+        "op4_packing": lambda spark, d: packing.query(documents(spark, d)),
         "op5_mixing": lambda spark, d: mixing.query(documents(spark, d)),
         "op7_byte_cnn": lambda spark, d: byte_cnn.query(documents(spark, d), _labels(spark, d)),
         "op8_quality_rules": lambda spark, d: quality_rules.query(documents(spark, d)),
@@ -27,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Query name to DuckDB SQL."""
-    return {"op8_quality_rules": quality_rules.ORACLE}
+    return {"op1_topk": topk.ORACLE, "op8_quality_rules": quality_rules.ORACLE}
