@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,7 @@ SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _BASE = "quillsift.stage.base"
+_SHIPPED = "quillsift.shipped"
 
 
 def stage_dir(spark: SparkSession) -> str:
@@ -33,8 +36,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once, so that their Python workers can import it."""
+    if spark.conf.get(_SHIPPED, None):
+        return
+    here = pathlib.Path(__file__).resolve().parents[1]
+    out = pathlib.Path(tempfile.mkdtemp()) / f"{here.name}.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    spark.sparkContext.addPyFile(str(out))
+    spark.conf.set(_SHIPPED, "true")
+
+
 def arrow_batches(spark: SparkSession, records: int = 512) -> None:
     """Bound what one Arrow batch holds, so that long texts do not gather in a Python worker."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 

@@ -4,8 +4,9 @@ Vectors are quantised to floor(256 * x). Rows are packed into blocks of bounded
 are packed likewise and dealt to every block by an equi-join of blocks. In a block each dimension is a list sorted by
 value; a query reads all its lists in step, from the end that its sign prefers. What has been read of a vector gives a
 lower bound of its score (lists not yet read count with their least value) and an upper bound (with the list's current
-value). Reading stops when no vector outside the current best can reach the k-th lower bound; final scores are then
-resolved for those that remain. Blocks' best are merged by rank.
+value). Reading stops when no vector that has not been seen can reach the k-th lower bound and few of the seen ones can;
+final scores are then resolved for those. Blocks' best are merged by rank. All queries of a block read in step, so that
+the bounds of one depth are a few matrix products.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; shorter vectors are filled
 with zeros; rows that repeat a vec_id and a vector count once; a vec_id asked with several vectors keeps its best scores of all; an empty table gives no rows. Integers are exact up to 64 bits.
@@ -26,6 +27,8 @@ from quillsift.llm.common import arrow_batches, stage
 BLOCK, QUERIES = 4096, 1024
 SPREAD = 16
 SCALE = 256
+#: Shares of the lists after which bounds are looked at.
+READS = (0.4, 0.55, 0.75)
 _BLOCK = "n long, dim int, ids binary, data binary"
 
 
@@ -68,52 +71,63 @@ def _packs(size: int):
 
 
 class Lists:
-    """A block's sorted lists."""
+    """A block's sorted lists: places of every vector in each dimension's order, and the values in that order."""
 
     def __init__(self, ids: np.ndarray, data: np.ndarray):
-        self.ids, self.data = ids, data
-        self.order = np.argsort(data, axis=0, kind="stable").T.copy()  # per dimension, rising
-        self.sorted = np.take_along_axis(data, self.order.T, 0).T.copy()
-
-    def top(self, own: int, q: np.ndarray, k: int, floor: int) -> list[tuple[int, int]]:
-        """(score, vec_id) of the best k distinct ids but `own`; those under `floor` may be left out."""
+        first: dict[tuple[int, bytes], int] = {}
+        for i, (own, v) in enumerate(zip(ids.tolist(), data, strict=True)):
+            first.setdefault((own, v.tobytes()), i)
+        keep = np.array(sorted(first.values()), int)
+        self.ids, self.data = ids[keep], data[keep]
+        self.sorted = np.sort(self.data, axis=0)
+        self.place = np.argsort(np.argsort(self.data, axis=0, kind="stable"), axis=0, kind="stable")
+        self.unique = len(np.unique(self.ids)) == len(self.ids)
+
+    def top(self, owns: np.ndarray, queries: np.ndarray, floors: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+        """For each query (score, vec_id) of the best k distinct ids but its own; scores under its floor may be left out.
+
+        All queries read in step. After `depth` entries from the high end (for positive weights) or the low end (for
+        negative ones), what is read of a list is exact; the rest lies between the list's last and its current value.
+        """
         n, d = self.data.shape
-        use = np.flatnonzero(q)
-        out = self.ids != own
-        if not len(use) or not out.any():
-            some = sorted({int(i) for i in self.ids[out]})[:k]
-            return [(0, i) for i in some]
-        w = q[use]
-        rising = (w < 0)[:, None]
-        lists, values = self.order[use], self.sorted[use]
-        lists = np.where(rising, lists, lists[:, ::-1])
-        gains = np.where(rising, values, values[:, ::-1]) * w[:, None]  # falling along each list
-        least = gains[:, -1]
-        low = np.full(n, least.sum(), np.int64)
-        unread = np.ones((n, len(use)), bool)
-        depth, step = 0, max(n // 16, 16)
-        col = np.arange(len(use))[:, None]
-        while True:
-            new = slice(depth, min(depth + step, n))
-            # bincount in float64 is exact for these integers only below 2**53, so add in int64
-            np.add.at(low, lists[:, new].ravel(), (gains[:, new] - least[:, None]).ravel())
-            unread[lists[:, new], np.broadcast_to(col, lists[:, new].shape)] = False
-            depth = new.stop
-            if depth >= n:
-                break
-            current = gains[:, depth]
-            high = low + unread @ (current - least)
-            bound = max(floor, int(np.partition(low[out], -k)[-k]) if out.sum() >= 2 * k else floor)
-            open_ = out & (high >= bound)
-            if open_.sum() <= max(4 * k, n // 64) and int(current.sum()) < bound:
+        most = d * int(np.abs(self.data).max(initial=0)) * int(np.abs(queries).max(initial=0))
+        kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else None  # exact sums, or none of bounds
+        x = self.data.astype(kind or np.float64)
+        plus, minus = np.maximum(queries, 0).T.astype(x.dtype), np.minimum(queries, 0).T.astype(x.dtype)
+        left = np.arange(len(queries))
+        cands: list[np.ndarray] = [np.arange(n)] * len(queries)
+        for share in READS if kind and self.unique and n > 8 * k else ():
+            depth = min(int(n * share), n - 1)
+            high_read, low_read = self.place >= n - depth, self.place < depth
+            up, down = plus[:, left], minus[:, left]
+            ends = self.sorted[0].astype(x.dtype), self.sorted[-1].astype(x.dtype)
+            now = self.sorted[n - 1 - depth].astype(x.dtype), self.sorted[depth].astype(x.dtype)
+            low = np.where(high_read, x, ends[0]) @ up + np.where(low_read, x, ends[1]) @ down
+            high = np.where(high_read, x, now[0]) @ up + np.where(low_read, x, now[1]) @ down
+            unseen = now[0] @ up + now[1] @ down
+            low[self.ids[:, None] == owns[left][None]] = -np.inf
+            bound = np.maximum(np.partition(low, n - k, 0)[n - k], floors[left])
+            open_ = (high >= bound).T
+            done = (unseen < bound) & ((open_.sum(1) <= n // 6) | (share == READS[-1]))
+            for j in np.flatnonzero(done):
+                cands[left[j]] = np.flatnonzero(open_[j])
+            left = left[~done]
+            if not len(left):
                 break
-            step *= 2
-        if depth >= n:
-            open_ = out
-        cand = np.flatnonzero(open_)
-        scores = low[cand] if depth >= n else self.data[cand] @ q
-        pairs = sorted(set(zip((-scores).tolist(), self.ids[cand].tolist(), strict=True)))[: 4 * k]
-        return [(-s, i) for s, i in pairs][:k]
+        out = []
+        for own, q, c in zip(owns.tolist(), queries, cands, strict=True):
+            c = c[self.ids[c] != own]
+            scores = self.data[c] @ q  # final scores of those that remain
+            if len(c) > 64 and self.unique:
+                c = c[keep := scores >= np.partition(scores, len(c) - k)[len(c) - k]]
+                scores = scores[keep]
+            best: dict[int, int] = {}
+            for s, i in sorted(zip((-scores).tolist(), self.ids[c].tolist(), strict=True)):
+                best.setdefault(i, -s)
+                if len(best) == k:
+                    break
+            out.append([(s, i) for i, s in best.items()])
+        return out
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -132,23 +146,24 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     pairs = left.join(right, ["g", "s"]).select("dim", "ids", "data", "qdim", "qids", "qdata")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floors: dict[tuple[int, bytes], list[int]] = {}  # of each query, over the blocks of this task
+        known: dict[tuple[int, bytes], dict[int, int]] = {}  # each query's best so far, over the blocks of this task
         for b in batches:
             for r in b.to_pylist():
-                ids = np.frombuffer(r["ids"], np.int64)
+                ids, qids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["qids"], np.int64)
                 data = np.frombuffer(r["data"], np.int64).reshape(len(ids), -1)
-                qids = np.frombuffer(r["qids"], np.int64)
                 q = np.frombuffer(r["qdata"], np.int64).reshape(len(qids), -1)
                 d = max(r["dim"], r["qdim"])
                 lists = Lists(ids, np.pad(data, ((0, 0), (0, d - data.shape[1]))))
                 q = np.pad(q, ((0, 0), (0, d - q.shape[1])))
+                keys = [(own, v.tobytes()) for own, v in zip(qids.tolist(), q, strict=True)]
+                floors = np.array([min(f.values()) if len(f := known.get(key, {})) >= k else -np.inf for key in keys])
                 rows = []
-                for own, v in zip(qids.tolist(), q, strict=True):
-                    known = floors.get(key := (own, v.tobytes()), [])
-                    got = lists.top(own, v, k, known[-1] if len(known) >= k else -(1 << 62))
-                    # distinct scores only: a repeated row must not raise the floor twice
-                    floors[key] = sorted({*known, *(s for s, _ in got)}, reverse=True)[:k]
-                    rows += [(own, i, s) for s, i in got]
+                for key, got in zip(keys, lists.top(qids, q, floors, k), strict=True):
+                    best = known.get(key, {})
+                    for s, i in got:
+                        best[i] = max(s, best.get(i, s))
+                        rows.append((key[0], i, s))
+                    known[key] = dict(sorted(best.items(), key=lambda p: (-p[1], p[0]))[:k])
                 cols = list(zip(*rows, strict=True)) or [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 
