@@ -177,11 +177,11 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> Model:
     """A model of labels.quality."""
     got = training_rows(docs, labels, "quality", most).select("doc_id", "text", "label").toArrow()
-    got = got.take(np.lexsort((np.asarray(got.column(1)).astype(str), np.asarray(got.column(0)))) if len(got) else [])
-    y = np.asarray(got.column(2), float)
+    rows = sorted(zip(*(c.to_pylist() for c in got.columns), strict=True))  # rows come in any order
+    y = np.array([r[2] for r in rows], float)
     if len(np.unique(y)) < 2:
         return Model(None, float(y.mean()) if len(y) else 0.0)
-    return Model(Network().fit([t.encode() for t in got.column(1).to_pylist()], y), float(y.mean()))
+    return Model(Network().fit([r[1].encode("utf-8", "replace") for r in rows], y), float(y.mean()))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
