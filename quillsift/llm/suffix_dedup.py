@@ -93,9 +93,12 @@ def _runs(docs: DataFrame, width: int, key: int) -> DataFrame:
 def _split(rows: DataFrame, name: str) -> tuple[list[DataFrame], DataFrame]:
     """One pass over rows with core and hull: (those repeated as a whole, those to split further)."""
     cores = rows.groupBy("core").agg(F.count("*").alias("_c"), F.min("hull").alias("_lo"), F.max("hull").alias("_hi")).filter("_c > 1")
-    alive = stage(rows.join(cores.select("core", (F.col("_lo") == F.col("_hi")).alias("_one")), "core"), f"suffix-{name}")
+    # counts are staged: a join whose both sides are shuffled for it lets Spark split a hot key's rows
+    cores = stage(cores.select("core", (F.col("_lo") == F.col("_hi")).alias("_one")), f"suffix-{name}-cores")
+    alive = stage(rows.join(cores, "core"), f"suffix-{name}")
     mixed = alive.filter(~F.col("_one")).drop("_one")
     hulls = mixed.groupBy("core", "hull").agg(F.count("*").alias("_c"), F.min(F.struct("k", "pos")).alias("_w")).filter("_c > 1")
+    hulls = stage(hulls, f"suffix-{name}-hulls")
     decided = stage(mixed.join(hulls, ["core", "hull"], "left"), f"suffix-{name}-rest")
     # one of each repeated hull goes on as a witness: others may share some of its windows
     rest = decided.filter(F.col("_c").isNull() | (F.struct("k", "pos") == F.col("_w"))).drop("_c", "_w")
@@ -178,7 +181,7 @@ def repeated(docs: DataFrame, width: int = WIDTH, key: int = KEY, cell: int = CE
     cells = stage(_cells(contexts, width, cell), "suffix-cells")
     more, rest = _split(cells, "1")
     windows = stage(_windows(contexts, rest, width), "suffix-windows")
-    twice = windows.groupBy("window").agg(F.count("*").alias("_c")).filter("_c > 1").select("window")
+    twice = stage(windows.groupBy("window").agg(F.count("*").alias("_c")).filter("_c > 1").select("window"), "suffix-twice")
     single = windows.join(twice, "window").select("k", "pos", F.lit(1).alias("n"))
     out = single
     for part in [*done, *more]:
