@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillsift.llm import byte_cnn, jaccard, mixing, packing, quality_rules, secret_scan, suffix_dedup, topk, toxicity
+from quillsift.llm import byte_cnn, jaccard, line_dedup, mixing, packing, quality_rules, secret_scan, suffix_dedup, topk, toxicity
 from quillsift.llm.common import documents
 
 
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secret_scan": lambda spark, d: secret_scan.query(documents(spark, d)),
         "op4_packing": lambda spark, d: packing.query(documents(spark, d)),
         "op5_mixing": lambda spark, d: mixing.query(documents(spark, d)),
+        "op6_line_dedup": lambda spark, d: line_dedup.query(documents(spark, d)),
         "op7_byte_cnn": lambda spark, d: byte_cnn.query(documents(spark, d), _labels(spark, d)),
         "op8_quality_rules": lambda spark, d: quality_rules.query(documents(spark, d)),
         "op10_jaccard": lambda spark, d: jaccard.query(documents(spark, d)),
@@ -31,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Query name to DuckDB SQL."""
-    return {"op1_topk": topk.ORACLE, "op8_quality_rules": quality_rules.ORACLE, "op10_jaccard": jaccard.ORACLE}
+    return {"op1_topk": topk.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op8_quality_rules": quality_rules.ORACLE, "op10_jaccard": jaccard.ORACLE}
