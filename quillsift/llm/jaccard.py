@@ -374,14 +374,18 @@ def _shingle_bytes(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 def links(docs: DataFrame, sigs: DataFrame, n: int = N, least: int = LEAST, block: int = BLOCK) -> DataFrame:
     """(node, component) of the classes that link with another class."""
     one = sigs.filter("s IS NOT NULL").groupBy("s").agg(F.min("u").alias("u"))
-    reps = stage(sigs.join(one.select("u"), "u").select("k", "s", "size", "prefix", "bits"), "jaccard-classes")
-    tokens = reps.select("s", F.explode("prefix").alias("g"))
-    shared = tokens.groupBy("g").agg(F.count("*").alias("m"), F.min("s").alias("pivot")).filter("m > 1")
-    held = stage(tokens.join(shared, "g"), "jaccard-shared")
-    ties = sweep(held.join(reps.select("s", "size", F.col("bits").alias("load")), "s"), False, least, block, "ties")
+    tokens = sigs.filter("s IS NOT NULL").select("s", F.explode("prefix").alias("g"))
+    counted = tokens.groupBy("g").agg(F.count("*").alias("m"), F.min("s").alias("pivot"), F.max("s").alias("last")).filter("pivot < last")
+    counted = stage(counted, "jaccard-counted")
+    # most groups are two classes, which share many shingles: one group for each pair, from the counts alone
+    pairs = counted.filter("m = 2").select("pivot", "last").distinct().withColumn("g", F.xxhash64(F.lit(2), "pivot", "last"))
+    held = tokens.join(counted.filter("m > 2").select("g", "m", "pivot"), "g").distinct()
+    held = held.unionByName(pairs.select(F.explode(F.array("pivot", "last")).alias("s"), "g", F.lit(2).cast("long").alias("m"), "pivot"))
+    reps = sigs.select("u", "k", "size", "bits").join(one, "u")
+    ties = sweep(stage(held, "jaccard-shared").join(reps.select("s", "size", F.col("bits").alias("load")), "s"), False, least, block, "ties")
     family = stage(components(ties).select(F.col("node").alias("s"), F.col("component").alias("g")), "jaccard-families")
     many = family.groupBy("g").agg(F.count("*").alias("m"), F.min("s").alias("pivot"))
-    wanted = reps.select("k", "s").join(family, "s").join(many, "g")
+    wanted = sigs.select("u", "k").join(one.join(family, "s"), "u").drop("u").join(many, "g")
     # identical rows share k: one of them is enough
     sets = _shingle_bytes(docs.select("k", "text"), wanted, n).dropDuplicates(["s"]).withColumn("size", F.lit(0))
     return components(sweep(sets, True, least, block, "sets"))
