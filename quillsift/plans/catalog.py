@@ -1,17 +1,710 @@
-"""Registry of the mail and corpus-algebra queries."""
+"""Registry of the mail and corpus-algebra queries. SQL is written apart from the Spark plans."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillsift.functions import attachments as A
+from quillsift.functions import lexicon as L
+from quillsift.functions import text as T
+from quillsift.functions import urls as U
+from quillsift.operators import anonymise, audit, corpus, findings, metrics, policy, rules, routing
+from quillsift.plans import fixtures as X
+from quillsift.plans.fixtures import spark_view, sql
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None):
+    """Register a query, and its SQL where there is one."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if oracle:
+            _SQL[name] = oracle
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
     """Query name to callable (spark, sf_dir)."""
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """Query name to DuckDB SQL."""
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A provided table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def long(c) -> object:
+    return c.cast("long")
+
+
+# ---- rules -------------------------------------------------------------------------------------------------------------
+
+_FREE = ", ".join(f"'{d}'" for d in L.FREE_MAIL)
+#: The first engine as plain SQL: one 0/1 column per signal.
+V1 = f"""SELECT *,
+  (CASE WHEN f1 THEN 3 ELSE 0 END) + (CASE WHEN f2 THEN 2 ELSE 0 END) + (CASE WHEN f3 THEN 3 ELSE 0 END) + (CASE WHEN f4 THEN 2 ELSE 0 END)
+  + (CASE WHEN f5 THEN 3 ELSE 0 END) + (CASE WHEN f6 THEN 3 ELSE 0 END) + (CASE WHEN f7 THEN 3 ELSE 0 END) + (CASE WHEN f8 THEN 2 ELSE 0 END)
+  + (CASE WHEN f9 THEN 3 ELSE 0 END) + (CASE WHEN f10 THEN 2 ELSE 0 END) + (CASE WHEN f11 THEN 2 ELSE 0 END) + (CASE WHEN f12 THEN 3 ELSE 0 END)
+  + (CASE WHEN f13 THEN 2 ELSE 0 END) + (CASE WHEN f14 THEN 3 ELSE 0 END) + (CASE WHEN f15 THEN 4 ELSE 0 END) + (CASE WHEN f16 THEN 2 ELSE 0 END)
+  + (CASE WHEN f17 THEN 2 ELSE 0 END) + (CASE WHEN f18 THEN 1 ELSE 0 END) + (CASE WHEN f19 THEN 2 ELSE 0 END) + (CASE WHEN f20 THEN 2 ELSE 0 END)
+  + (CASE WHEN f21 THEN 3 ELSE 0 END) - (CASE WHEN f22 THEN 3 ELSE 0 END) AS score
+FROM (SELECT *, spf_result = 'fail' OR dmarc_result = 'fail' AS f1,
+  (dkim_result IS NULL OR dkim_result IN ('none', 'fail')) AND coalesce(NOT dkim_domain_matches_from, FALSE) AS f2,
+  coalesce(dkim_result = 'pass' AND NOT dkim_domain_matches_from, FALSE) AS f3, return_path_mismatch AS f4,
+  coalesce(reply_to_mismatch AND lower(reply_to_domain) IN ({_FREE}) AND from_domain NOT IN ({_FREE}), FALSE) AS f5, display_name_brand_mismatch AS f6,
+  url_differs AS f7, url_ip AS f8, url_puny AS f9, url_short AS f10, url_redirect AS f11, has_html_form AS f12, display_name_has_email AS f13, risky AS f14, doubled AS f15,
+  has_hidden_text OR image_only_body AS f16, credential_request AND n_urls > 0 AS f17, urgent AS f18, archived AND credential_request AS f19, claims_attachment AND n_attachments = 0 AS f20,
+  coalesce(from_domain NOT LIKE '%.%', FALSE) AS f21, coalesce(spf_result = 'pass' AND dkim_result = 'pass' AND dmarc_result = 'pass' AND dkim_domain_matches_from, FALSE) AS f22
+  FROM {sql(X.SIGNALS)} AS s) AS f"""
+_BAND = "CASE WHEN score >= 5 THEN 'Phishing' WHEN score >= 3 THEN 'Muhtemel Phishing' ELSE 'Güvenilir' END"
+_FIRE = (
+    "spf_or_dmarc_fail dkim_missing_or_fail_domain_mismatch dkim_pass_but_domain_mismatch return_path_mismatch reply_to_free_mail display_name_brand_mismatch url_text_href_mismatch "
+    "url_ip_based url_punycode url_shortener url_redirect_param has_html_form display_name_has_email attachment_risky_type attachment_double_extension hidden_text_or_image_only "
+    "credential_request_with_external_link urgency_keywords is_archive_with_credential_request claims_attachment_but_empty from_domain_no_tld all_auth_pass_and_consistent"
+).split()
+
+
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    """The first engine over the signals fixture."""
+    return rules.evaluate_v1(X.flat(spark_view(spark, d, X.SIGNALS)))
+
+
+def scored2(spark: SparkSession, d: str) -> DataFrame:
+    """The second engine over the signals fixture."""
+    return rules.evaluate_v2(X.nested(spark_view(spark, d, X.SIGNALS)))
+
+
+@query("v1_verdicts", f"SELECT id, score::INTEGER AS score, {_BAND} AS verdict FROM ({V1}) AS v")
+def v1_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return scored(spark, d).select("id", "score", F.col("rule_verdict").alias("verdict"))
+
+
+@query(
+    "v1_verdict_histogram",
+    f"""SELECT verdict, count(*)::BIGINT AS n, count(*) FILTER (WHERE label = 'phishing')::BIGINT AS n_phishing, min(score)::INTEGER AS least, max(score)::INTEGER AS most
+    FROM (SELECT *, {_BAND} AS verdict FROM ({V1}) AS v) AS w GROUP BY verdict""",
+)
+def v1_verdict_histogram(spark: SparkSession, d: str) -> DataFrame:
+    v = scored(spark, d).groupBy(F.col("rule_verdict").alias("verdict"))
+    return v.agg(F.count("*").alias("n"), F.count_if(F.col("label") == "phishing").alias("n_phishing"), F.min("score").alias("least"), F.max("score").alias("most"))
+
+
+@query("v1_signal_counts", " UNION ALL ".join(f"SELECT '{s}' AS signal, count(*)::BIGINT AS n FROM ({V1}) AS v WHERE f{i} HAVING count(*) > 0" for i, s in enumerate(_FIRE, 1)))
+def v1_signal_counts(spark: SparkSession, d: str) -> DataFrame:
+    return scored(spark, d).select(F.explode("matches.signal").alias("signal")).groupBy("signal").agg(F.count("*").alias("n"))
+
+
+@query("rule_evidence_exploded", " UNION ALL ".join(f"SELECT id, '{s}' AS signal, {rules.load_rules()['signals'][s]['weight']}::INTEGER AS weight FROM ({V1}) AS v WHERE f{i}" for i, s in enumerate(_FIRE, 1)))
+def rule_evidence_exploded(spark: SparkSession, d: str) -> DataFrame:
+    evidence = scored(spark, d).select("id", F.explode("matches.signal").alias("signal"))
+    return evidence.join(F.broadcast(rules.rules_table(spark)), "signal").select("id", "signal", "weight")  # 27 rows
+
+
+#: The second engine as plain SQL: scores from the greatest strength and the number of subgroups.
+V2 = f"""SELECT *, id_s + url_s + con_s + pay_s AS total, (id_s >= 1)::INT + (url_s >= 1)::INT + (con_s >= 1)::INT + (pay_s >= 1)::INT AS active,
+  (id_s >= 2)::INT + (url_s >= 2)::INT + (con_s >= 2)::INT + (pay_s >= 2)::INT AS material
+FROM (SELECT *, CASE WHEN i1 = 0 AND i2 = 0 AND i3 = 0 THEN 0 ELSE least(4, greatest(i1, i2, i3) + ((i1 > 0)::INT + (i2 > 0)::INT + (i3 > 0)::INT >= 2)::INT) END AS id_s,
+  CASE WHEN u1 = 0 AND u2 = 0 AND u3 = 0 THEN 0 ELSE least(4, greatest(u1, u2, u3) + ((u1 > 0)::INT + (u2 > 0)::INT + (u3 > 0)::INT >= 2)::INT) END AS url_s,
+  CASE WHEN greatest(c1, c2, c3, c4, c5) = 0 THEN 0 ELSE least(4, greatest(c1, c2, c3, c4, c5) + ((c1 > 0)::INT + (c2 > 0)::INT + (c3 > 0)::INT + (c4 > 0)::INT + (c5 > 0)::INT >= 2)::INT) END AS con_s,
+  CASE WHEN greatest(p1, p2, p3) = 0 THEN 0 ELSE least(4, greatest(p1, p2, p3) + ((p1 > 0)::INT + (p2 > 0)::INT + (p3 > 0)::INT >= 2)::INT) END AS pay_s
+FROM (SELECT *, CASE WHEN f1 OR f3 OR f21 OR (spf_result = 'pass' AND coalesce(NOT spf_aligned, FALSE) AND NOT coalesce(dkim_result = 'pass' AND dkim_domain_matches_from, FALSE)) THEN 3
+    WHEN f2 OR (f4 AND (NOT f22 OR f5 OR f6)) THEN 2 ELSE 0 END AS i1,
+  CASE WHEN f6 THEN 3 WHEN f13 THEN 2 ELSE 0 END AS i2, CASE WHEN f5 THEN 3 ELSE 0 END AS i3,
+  CASE WHEN f7 THEN 3 ELSE 0 END AS u1, CASE WHEN f9 THEN 3 WHEN f8 THEN 2 ELSE 0 END AS u2, CASE WHEN f10 OR f11 THEN 2 ELSE 0 END AS u3,
+  CASE WHEN has_large_hidden_text OR image_only_body THEN 2 ELSE 0 END AS c1,
+  CASE WHEN f12 OR (form_differs AND from_domain IS NOT NULL AND credential_request) THEN 3 WHEN f17 THEN 2 ELSE 0 END AS c2,
+  CASE WHEN urgent THEN 1 ELSE 0 END AS c3, CASE WHEN f20 THEN 2 ELSE 0 END AS c4, CASE WHEN advance_fee OR fake_reward THEN 1 ELSE 0 END AS c5,
+  CASE WHEN risky THEN 3 ELSE 0 END AS p1, CASE WHEN doubled OR mismatched THEN 3 ELSE 0 END AS p2, CASE WHEN archived THEN 1 ELSE 0 END AS p3 FROM ({V1}) AS v) AS h) AS s"""
+_BAND2 = """CASE WHEN (risky AND doubled) OR greatest(id_s, url_s, con_s, pay_s) = 4 OR (total >= 5 AND material >= 2) THEN 'Phishing'
+  WHEN greatest(id_s, url_s, con_s, pay_s) >= 3 OR (total >= 3 AND active >= 2) THEN 'Muhtemel Phishing' ELSE 'Güvenilir' END"""
+
+
+@query("v2_family_scores", f"SELECT id, id_s AS identity_score, url_s AS url_score, con_s AS content_score, pay_s AS payload_score, total, active, material FROM ({V2}) AS v")
+def v2_family_scores(spark: SparkSession, d: str) -> DataFrame:
+    return scored2(spark, d).select("id", *[f"{f}_score" for f in rules.FAMILIES], "total", "active", "material")
+
+
+@query("v2_verdicts", f"SELECT id, {_BAND2} AS verdict FROM ({V2}) AS v")
+def v2_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return scored2(spark, d).select("id", F.col("verdict_v2").alias("verdict"))
+
+
+@query("v1_v2_divergence", f"SELECT id, v1, v2 FROM (SELECT id, {_BAND} AS v1, {_BAND2} AS v2 FROM ({V2}) AS v) AS w WHERE v1 <> v2")
+def v1_v2_divergence(spark: SparkSession, d: str) -> DataFrame:
+    both = rules.evaluate_v2(X.nested(scored(spark, d)))
+    return both.filter("rule_verdict <> verdict_v2").select("id", F.col("rule_verdict").alias("v1"), F.col("verdict_v2").alias("v2"))
+
+
+def engines(spark: SparkSession, d: str) -> DataFrame:
+    """(id, label, engine, verdict) of both engines."""
+    both = rules.evaluate_v2(X.nested(scored(spark, d)))
+    part = F.explode(F.array(F.struct(F.lit("v1").alias("engine"), F.col("rule_verdict").alias("verdict")), F.struct(F.lit("v2").alias("engine"), F.col("verdict_v2").alias("verdict"))))
+    return both.select("id", "label", part.alias("x")).select("id", "label", "x.*")
+
+
+_ENGINES = f"(SELECT id, label, 'v1' AS engine, {_BAND} AS verdict FROM ({V2}) AS a UNION ALL SELECT id, label, 'v2' AS engine, {_BAND2} AS verdict FROM ({V2}) AS b)"
+_CNT = "count(*) FILTER (WHERE label = '{0}' AND {1})"
+
+
+@query(
+    "recall_fp_abstention",
+    f"""SELECT engine, count(*)::BIGINT AS n, {_CNT.format('phishing', 'TRUE')}::BIGINT AS n_phishing, {_CNT.format('legitimate', 'TRUE')}::BIGINT AS n_legitimate,
+    {_CNT.format('phishing', "verdict = 'Phishing'")} / {_CNT.format('phishing', 'TRUE')} AS recall_strict, {_CNT.format('phishing', "verdict <> 'Güvenilir'")} / {_CNT.format('phishing', 'TRUE')} AS recall_wide,
+    {_CNT.format('legitimate', "verdict = 'Phishing'")} / {_CNT.format('legitimate', 'TRUE')} AS fp_strict, {_CNT.format('legitimate', "verdict <> 'Güvenilir'")} / {_CNT.format('legitimate', 'TRUE')} AS flagged,
+    count(*) FILTER (WHERE verdict = 'Muhtemel Phishing') / count(*) AS abstention FROM {_ENGINES} AS e GROUP BY engine""",
+)
+def recall_fp_abstention(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.verdict_metrics(engines(spark, d), by=["engine"])
+
+
+_TRUTH = "CASE WHEN id % 10 = 0 THEN 'unclear' WHEN id % 3 = 0 THEN 'phishing' ELSE 'spam' END"
+
+
+@query(
+    "ternary_ground_truth",
+    f"""SELECT engine, count(*) FILTER (WHERE t = 'unclear')::BIGINT AS excluded, count(*) FILTER (WHERE t = 'phishing')::BIGINT AS n_phishing,
+    count(*) FILTER (WHERE t = 'phishing' AND verdict = 'Phishing')::BIGINT AS caught, count(*) FILTER (WHERE t = 'spam')::BIGINT AS n_spam,
+    count(*) FILTER (WHERE t = 'spam' AND verdict = 'Phishing')::BIGINT AS spam_flagged FROM (SELECT *, {_TRUTH} AS t FROM {_ENGINES} AS e) AS x GROUP BY engine""",
+)
+def ternary_ground_truth(spark: SparkSession, d: str) -> DataFrame:
+    rows = engines(spark, d)
+    truth = table(spark, d, "events").select(F.col("event_id").alias("id"), F.expr(_TRUTH.replace("id %", "event_id %")).alias("truth"))
+    return metrics.ternary_truth(rows, truth, "id")
+
+
+# ---- decisions and reports ---------------------------------------------------------------------------------------------
+
+_TYPES = f"(SELECT id, list(type ORDER BY kind) AS types, list(type || ':' || s || '-' || e ORDER BY kind, type, s, e) AS ids FROM {sql(X.FINDINGS)} AS f GROUP BY id)"
+_DECIDED = f"""(SELECT v.id, {_BAND} AS rule_verdict, t.types, n_urls > 0 AS ext,
+  CASE WHEN score >= 3 THEN 'rule_engine_only' WHEN n_urls > 0 AND list_contains(types, 'credential_request') THEN 'credential_request_plus_url_upgrade'
+    WHEN list_contains(types, 'payment_request') AND (list_contains(types, 'reward_or_prize_lure') OR list_contains(types, 'threat_or_fear') OR list_contains(types, 'reply_channel_manipulation'))
+    THEN 'payment_request_combination_upgrade' ELSE 'rule_engine_only' END AS path, score FROM ({V1}) AS v JOIN {_TYPES} AS t ON t.id = v.id)"""
+
+
+def decided(spark: SparkSession, d: str) -> DataFrame:
+    """The first engine's verdicts with findings and decisions."""
+    base = scored(spark, d).withColumn("assessment", rules.assessment_v1())
+    joined = base.join(X.findings_of(spark_view(spark, d, X.FINDINGS)), "id")
+    return joined.withColumn("decision", policy.decide(F.col("assessment"), F.col("findings"), F.col("n_urls") > 0))
+
+
+@query("decision_policy", f"SELECT id, rule_verdict, CASE WHEN path <> 'rule_engine_only' THEN 'Muhtemel Phishing' ELSE rule_verdict END AS final_verdict, path AS decision_path, path <> 'rule_engine_only' OR rule_verdict = 'Muhtemel Phishing' AS review FROM {_DECIDED} AS x")
+def decision_policy(spark: SparkSession, d: str) -> DataFrame:
+    x = F.col("decision")
+    return decided(spark, d).select("id", x["rule_verdict"].alias("rule_verdict"), x["final_verdict"].alias("final_verdict"), x["decision_path"].alias("decision_path"), x["analyst_review_required"].alias("review"))
+
+
+@query(
+    "policy_contributing_ids",
+    f"""SELECT x.id, string_agg(f.type || ':' || f.s || '-' || f.e, ',' ORDER BY f.kind) AS ids FROM {_DECIDED} AS x JOIN {sql(X.FINDINGS)} AS f ON f.id = x.id
+    WHERE (path = 'credential_request_plus_url_upgrade' AND f.type = 'credential_request')
+    OR (path = 'payment_request_combination_upgrade' AND f.type IN ('payment_request', 'reward_or_prize_lure', 'threat_or_fear', 'reply_channel_manipulation')) GROUP BY x.id""",
+)
+def policy_contributing_ids(spark: SparkSession, d: str) -> DataFrame:
+    ids = F.array_join("decision.contributing_semantic_ids", ",")
+    return decided(spark, d).select("id", ids.alias("ids")).filter("ids <> ''")
+
+
+def _cat_sql(i: int) -> str:
+    fired = {s: f"f{n}" for n, s in enumerate(_FIRE, 1)}
+    return " OR ".join(fired[s] for s in L.CATEGORY_SIGNALS[i].split() if s in fired)
+
+
+_CATS = "list_filter([" + ", ".join(f"CASE WHEN {_cat_sql(i)} THEN '{c}' END" for i, c in enumerate(L.CATEGORIES)) + "], lambda c: c IS NOT NULL)"
+
+
+@query("report_categories", f"SELECT id, coalesce(array_to_string({_CATS}, '|'), '') AS categories FROM ({V1}) AS v")
+def report_categories(spark: SparkSession, d: str) -> DataFrame:
+    cats = policy.categories(F.col("matches.signal"), F.array().cast("array<string>"))
+    return scored(spark, d).select("id", F.array_join(cats, "|").alias("categories"))
+
+
+@query(
+    "report_text",
+    f"""SELECT id, verdict AS risk, CASE WHEN verdict = 'Güvenilir' THEN '{L.CLEAN_REASON}' WHEN len(cats) = 0 THEN '{L.NO_CATEGORY_REASON}'
+      WHEN len(cats) = 1 THEN 'Bu karar; ' || cats[1] || ' kategorisinin değerlendirilmesine dayanır.'
+      ELSE 'Bu karar; ' || array_to_string(cats[1:len(cats) - 1], ', ') || ' ve ' || cats[len(cats)] || ' kategorilerinin birlikte değerlendirilmesine dayanır.' END AS reason,
+    CASE verdict WHEN 'Phishing' THEN '{L.ACTIONS[L.PHISHING]}' WHEN 'Güvenilir' THEN '{L.ACTIONS[L.CLEAN]}' ELSE '{L.ACTIONS[L.LIKELY]}' END AS action
+    FROM (SELECT id, {_BAND} AS verdict, {_CATS} AS cats FROM ({V1}) AS v) AS w""",
+)
+def report_text(spark: SparkSession, d: str) -> DataFrame:
+    r = scored(spark, d).withColumn("assessment", rules.assessment_v1()).select("id", policy.report(F.col("assessment")).alias("r"))
+    return r.select("id", F.col("r.risk_seviyesi").alias("risk"), F.col("r.sonuc_ve_gerekce").alias("reason"), F.col("r.onerilen_aksiyon").alias("action"))
+
+
+# ---- findings ----------------------------------------------------------------------------------------------------------
+
+_PLACED = """(SELECT b.item_id, d.doc_id, b.text AS evidence, d.text AS body, instr(d.text, b.text) AS z FROM {benchmark} AS b JOIN {documents} AS d ON contains(d.text, b.text) OR d.doc_id = b.item_id)"""
+_GROUND = """SELECT item_id, doc_id, CASE WHEN length(evidence) > 300 THEN 'EVIDENCE_TOO_LONG' WHEN z = 0 THEN 'NOT_FOUND_IN_BODY'
+  WHEN instr(substr(body, z + 1), evidence) > 0 THEN 'AMBIGUOUS_EVIDENCE' ELSE 'ACCEPTED' END AS outcome,
+  CASE WHEN length(evidence) <= 300 AND z > 0 AND instr(substr(body, z + 1), evidence) = 0 THEN (z - 1)::INTEGER END AS start FROM """
+
+
+@query("finding_grounding", _GROUND + _PLACED.format(benchmark="benchmark", documents="documents") + " AS p")
+def finding_grounding(spark: SparkSession, d: str) -> DataFrame:
+    # each passage against its own document, and against those that hold its first words: an equi-join on a word, then the exact check
+    bench = table(spark, d, "benchmark").withColumnRenamed("text", "evidence")
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("body"))
+    inner = F.when(F.size(F.split("evidence", " ")) > 2, F.array_join(F.slice(F.split("evidence", " "), F.lit(2), F.size(F.split("evidence", " ")) - 2), " ")).otherwise(F.col("evidence"))
+    keyed = bench.withColumn("w", F.element_at(F.array_sort(F.filter(F.split(inner, r"\s+"), lambda x: x != ""), lambda a, b: F.length(b) - F.length(a)), 1))
+    words = docs.select("doc_id", "body", F.explode(F.array_distinct(F.split("body", r"\s+"))).alias("w"))
+    held = keyed.join(words, "w").filter(F.contains("body", F.col("evidence"))).select("item_id", "doc_id", "evidence", "body")
+    own = bench.join(docs, bench.item_id == docs.doc_id).select("item_id", "doc_id", "evidence", "body")
+    pairs = held.unionByName(own).dropDuplicates(["item_id", "doc_id"])
+    reason = findings.grounding_reason(F.col("evidence"), F.col("body"))
+    start = F.when(reason.isNull(), F.position(F.col("evidence"), F.col("body")) - 1).cast("int")
+    return pairs.select("item_id", "doc_id", F.coalesce(reason, F.lit("ACCEPTED")).alias("outcome"), start.alias("start"))
+
+
+@query("finding_dedup", f"SELECT id, kind, type, pos, CASE WHEN row_number() OVER (PARTITION BY id, type ORDER BY pos) > 1 THEN 'DUPLICATE_FINDING' END AS reason FROM (SELECT id, kind::BIGINT AS kind, type, row_number() OVER (PARTITION BY id ORDER BY kind, s, e)::INTEGER AS pos FROM {sql(X.FINDINGS)} AS f) AS x")
+def finding_dedup(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    f = spark_view(spark, d, X.FINDINGS).withColumn("pos", F.row_number().over(Window.partitionBy("id").orderBy("kind", "s", "e")))
+    made = f.select("id", "kind", "type", "pos", F.lit("x").alias("evidence"), F.lit("a x b").alias("body"), F.lit(None).cast("string").alias("rejection_reason"))
+    return findings.ground(made, "id").select("id", long(F.col("kind")).alias("kind"), "type", "pos", F.col("rejection_reason").alias("reason"))
+
+
+_RAW = """SELECT event_id AS id, CASE event_id % 9
+  WHEN 0 THEN '[{{"type": "credential_request", "evidence": "a", "model_confidence": 0.5, "explanation": "b"}}]' WHEN 1 THEN '["text", null, 5, []]'
+  WHEN 2 THEN '[{{"type": "other", "evidence": "a", "model_confidence": 0.5, "explanation": "b"}}]' WHEN 3 THEN 'Sure: [{{"type": "payment_request", "evidence": "a", "model_confidence": "0.5", "explanation": "b"}}] done'
+  WHEN 4 THEN '[{{"type": "threat_or_fear", "evidence": "a", "model_confidence": 1, "explanation": "b"}}]' WHEN 5 THEN '[{{"type": "threat_or_fear", "evidence": "a", "model_confidence": 1.5, "explanation": "b"}}]'
+  WHEN 6 THEN '[{{"type": "threat_or_fear", "evidence": "a", "model_confidence": 0.5, "explanation": "b", "more": 1}}]' WHEN 7 THEN 'no array' ELSE '[{{"type": ["x"], "evidence": "a"}}]' END AS raw FROM {events}"""
+_RAW_SQL = """SELECT event_id AS id, u.pos::INTEGER AS pos, u.reason FROM events JOIN (VALUES (0, 0, NULL), (1, 0, 'SCHEMA_INVALID'), (1, 1, 'SCHEMA_INVALID'), (1, 2, 'SCHEMA_INVALID'), (1, 3, 'SCHEMA_INVALID'),
+  (2, 0, 'UNKNOWN_TYPE'), (3, 0, 'SCHEMA_INVALID'), (4, 0, NULL), (5, 0, 'SCHEMA_INVALID'), (6, 0, 'SCHEMA_INVALID'), (8, 0, 'UNKNOWN_TYPE')) AS u(k, pos, reason) ON event_id % 9 = u.k"""
+
+
+@query("raw_finding_schema", _RAW_SQL)
+def raw_finding_schema(spark: SparkSession, d: str) -> DataFrame:
+    items = findings.explode_raw(spark_view(spark, d, _RAW))
+    return findings.candidates(items).select("id", "pos", F.col("rejection_reason").alias("reason"))
+
+
+# ---- URLs, domains, attachments ----------------------------------------------------------------------------------------
+
+_HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
+_SHORT = ", ".join(f"'{s}'" for s in L.SHORTENERS)
+
+
+@query("url_facts", f"""SELECT page_id, {_HOST} AS host, regexp_full_match({_HOST}, '\\d{{1,3}}(\\.\\d{{1,3}}){{3}}') AS is_ip, {_HOST} IN ({_SHORT}) AS is_shortener,
+  '.' || {_HOST} LIKE '%.xn--%' AS has_punycode, contains(url, '?') AND regexp_matches(lower(substr(url, instr(url, '?') + 1)), 'http%3a|https?://') AS redirect_param FROM pages""")
+def url_facts(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "pages").select("page_id", U.url_fact(F.col("url"), F.lit(None).cast("string")).alias("f"))
+    return f.select("page_id", F.col("f.href_domain").alias("host"), F.col("f.is_ip_based").alias("is_ip"), "f.is_shortener", "f.has_punycode", "f.redirect_param")
+
+
+@query("url_host_counts", f"SELECT {_HOST} AS host, count(*)::BIGINT AS n FROM pages GROUP BY 1")
+def url_host_counts(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.histogram(table(spark, d, "pages").select(U.domain_of_url(F.col("url")).alias("host")), "host")
+
+
+@query("url_strip_query", "SELECT page_id, CASE WHEN contains(url, '?') THEN split_part(url, '?', 1) ELSE split_part(url, '#', 1) END AS bare FROM pages")
+def url_strip_query(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", U.strip_query(F.col("url")).alias("bare"))
+
+
+_LAST2 = f"array_to_string(string_split({_HOST}, '.')[-2:], '.')"
+
+
+@query("registrable_domains", f"SELECT page_id, {_HOST} AS host, {_LAST2} AS root FROM pages")
+def registrable_domains(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").select("page_id", U.domain_of_url(F.col("url")).alias("host"))
+    return U.registrable_domains(pages, "host").select("page_id", "host", F.col("host_root").alias("root"))
+
+
+@query("same_organization", f"SELECT page_id, {_HOST} = 'example.com' OR {_LAST2} = 'example.com' AS same FROM pages")
+def same_organization(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").select("page_id", U.domain_of_url(F.col("url")).alias("a"), F.lit("example.com").alias("b"))
+    r = U.registrable_domains(pages, "a", "b")
+    return r.select("page_id", U.same_organization(F.col("a"), F.col("b"), F.col("a_root"), F.col("b_root")).alias("same"))
+
+
+@query("domain_roots", f"SELECT page_id, {_LAST2} AS root FROM pages")
+def domain_roots(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", U.domain_root(U.domain_of_url(F.col("url"))).alias("root"))
+
+
+@query("text_urls", """SELECT doc_id, coalesce(array_to_string(list_distinct(u), ' '), '') AS urls, len(list_distinct(u))::INTEGER AS n FROM (SELECT doc_id, regexp_extract_all(text, 'https?://[^\\s"''<>)]+') AS u FROM """ + sql(X.TEXTS) + " AS t) AS x")
+def text_urls(spark: SparkSession, d: str) -> DataFrame:
+    none = F.array().cast("array<struct<url:string,text:string>>")
+    f = spark_view(spark, d, X.TEXTS).select("doc_id", U.url_facts(none, F.col("text")).alias("f"))
+    return f.select("doc_id", F.array_join("f.url", " ").alias("urls"), F.size("f").alias("n"))
+
+
+_EXT = "CASE WHEN contains(name, '.') THEN lower(regexp_extract(name, '\\.([^.]*)$', 1)) ELSE '' END"
+_RISK, _ARCH = (", ".join(f"'{x}'" for x in xs) for xs in (L.RISKY_EXTENSIONS, L.ARCHIVE_EXTENSIONS))
+
+
+@query("attachment_flags", f"""SELECT id, {_EXT} AS extension, {_EXT} IN ({_RISK}) AS risky, {_EXT} IN ({_ARCH}) AS archive,
+  len(string_split(name, '.')) >= 3 AND {_EXT} IN ({_RISK}, {_ARCH}) AND length(string_split(name, '.')[-2]) <= 5 AS doubled FROM {sql(X.FILES)} AS f""")
+def attachment_flags(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("name")
+    return spark_view(spark, d, X.FILES).select("id", A.extension_of(n).alias("extension"), A.risky_type(n).alias("risky"), A.is_archive(n).alias("archive"), A.double_extension(n).alias("doubled"))
+
+
+@query("extension_mismatch", f"""SELECT id, kind IS NOT NULL AND known AND NOT list_contains(kind, ext) AS mismatch FROM (SELECT id, {_EXT} AS ext, {_EXT} IN ('pdf', 'zip', 'docx', 'xlsx', 'pptx', 'doc', 'xls', 'ppt', 'msi', 'rar', '7z', 'exe', 'scr', 'com') AS known,
+  CASE WHEN head LIKE '255044462D%' THEN ['pdf'] WHEN head LIKE '504B0304%' THEN ['zip', 'docx', 'xlsx', 'pptx'] WHEN head LIKE '4D5A%' THEN ['exe', 'scr', 'com'] WHEN head LIKE 'D0CF11E0A1B11AE1%' THEN ['doc', 'xls', 'ppt', 'msi']
+  WHEN head LIKE '526172211A0700%' THEN ['rar'] END AS kind FROM {sql(X.FILES)} AS f) AS x""")
+def extension_mismatch(spark: SparkSession, d: str) -> DataFrame:
+    return spark_view(spark, d, X.FILES).select("id", A.extension_mismatch(F.col("head"), F.col("name")).alias("mismatch"))
+
+
+# ---- text --------------------------------------------------------------------------------------------------------------
+
+_T = sql(X.TEXTS)
+
+
+@query("mask_indicators", f"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, 'https?://\\S+', '[URL]', 'g'), '[\\w.+-]+@[\\w-]+\\.[\\w.-]+', '[EMAIL]', 'g'), '\\b\\d{{1,3}}(?:\\.\\d{{1,3}}){{3}}\\b', '[IP]', 'g')) AS masked FROM {_T} AS t""")
+def mask_indicators(spark: SparkSession, d: str) -> DataFrame:
+    return spark_view(spark, d, X.TEXTS).select("doc_id", F.md5(T.mask_indicators(F.col("text")).cast("binary")).alias("masked"))
+
+
+@query("canonical_body", "SELECT page_id, md5(replace(replace(html, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS body FROM pages")
+def canonical_body(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.md5(T.canonical_body(F.col("html")).cast("binary")).alias("body"))
+
+
+@query("usable_body", f"SELECT doc_id, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 30 AND len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: length(w) > 60)) = 0 AS usable FROM {_T} AS t")
+def usable_body(spark: SparkSession, d: str) -> DataFrame:
+    return spark_view(spark, d, X.TEXTS).select("doc_id", T.usable_body(F.col("text")).alias("usable"))
+
+
+_TRW = "[" + ", ".join(f"'{w}'" for w in L.TURKISH_WORDS) + "]"
+_LANG = f"CASE WHEN regexp_matches(h, '[ışğİŞĞ]') OR len(list_intersect(list_distinct(regexp_extract_all(lower(h), '[a-zçğıöşü]+')), {_TRW})) >= 2 THEN 'tr' WHEN regexp_matches(h, '[a-zA-Z]') THEN 'en' ELSE 'other' END"
+
+
+@query("language_gate", f"SELECT doc_id, {_LANG} AS language FROM (SELECT doc_id, substr(text, 1, 2000) AS h FROM {_T} AS t) AS x")
+def language_gate(spark: SparkSession, d: str) -> DataFrame:
+    return spark_view(spark, d, X.TEXTS).select("doc_id", T.detect_language(F.col("text")).alias("language"))
+
+
+@query("language_mix", f"SELECT count(*)::BIGINT AS n, count(*) FILTER (WHERE tr)::BIGINT AS n_turkish, count(*) FILTER (WHERE tr) / count(*) AS share, count(*) FILTER (WHERE tr) / count(*) < 0.3 AS warn FROM (SELECT regexp_matches(text, '[çğıöşüÇĞİÖŞÜ]') OR len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-zçğıöşü]+')), {_TRW})) >= 2 AS tr FROM {_T} AS t) AS x")
+def language_mix(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.language_mix(spark_view(spark, d, X.TEXTS), T.is_turkish(F.col("text")))
+
+
+_DATE = "concat(CASE o_orderkey % 4 WHEN 0 THEN 'Mon, 3 ' WHEN 1 THEN '' ELSE 'Tue, 14 ' END, CASE o_orderkey % 5 WHEN 0 THEN 'Mar' WHEN 1 THEN 'Dec' WHEN 2 THEN '' ELSE 'Jul' END, ' ', 2010 + o_orderkey % 25, ' 10:00')"
+
+
+@query("year_month", f"""SELECT o_orderkey, CASE WHEN y < 2015 OR y > 2030 THEN 'unknown' ELSE y || CASE o_orderkey % 5 WHEN 0 THEN '-Mar' WHEN 1 THEN '-Dec' WHEN 2 THEN '' ELSE '-Jul' END END AS stratum
+  FROM (SELECT o_orderkey, 2010 + o_orderkey % 25 AS y FROM orders) AS x""")
+def year_month(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", T.year_month(F.expr(_DATE)).alias("stratum"))
+
+
+@query("homoglyphs", "SELECT c_custkey, translate(lower(c_name || '@l10'), 'l10534@', 'iioseaa') AS name FROM customer")
+def homoglyphs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select("c_custkey", T.normalize_homoglyphs(F.concat("c_name", F.lit("@l10"))).alias("name"))
+
+
+_URGENT = ", ".join(f"CASE WHEN language <> 'tr' AND regexp_matches(text, '(?i)\\b{k}\\b') THEN '{k}' END" for k in sorted(L.URGENCY_EN))
+
+
+@query("urgency_hits", f"SELECT doc_id, array_to_string(list_filter([{_URGENT}], lambda k: k IS NOT NULL), ',') AS keywords FROM (SELECT doc_id, text, {_LANG} AS language FROM (SELECT *, substr(text, 1, 2000) AS h FROM {_T} AS t) AS x) AS y WHERE language = 'en'")
+def urgency_hits(spark: SparkSession, d: str) -> DataFrame:
+    t = spark_view(spark, d, X.TEXTS).withColumn("language", T.detect_language(F.col("text"))).filter("language = 'en'")
+    return t.select("doc_id", T.urgency_keywords(F.col("text"), F.col("language")).alias("keywords"))
+
+
+@query("claims_attachment", f"SELECT doc_id, regexp_matches(text, '(?i)\\b(attach(ed|ment)?|ekte|ek\\s*olarak|ekli\\s*dosya)\\b') AND doc_id % 2 = 1 AS claims FROM {_T} AS t")
+def claims_attachment(spark: SparkSession, d: str) -> DataFrame:
+    return spark_view(spark, d, X.TEXTS).select("doc_id", T.claims_attachment(F.col("text"), F.col("doc_id") % 2 == 0).alias("claims"))
+
+
+@query("scam_phrases", f"SELECT doc_id, regexp_matches(text, '(?i)\\b(beneficiary|outstanding\\s+(fund|principal|balance)|next\\s+of\\s+kin)\\b') AS advance_fee, regexp_matches(text, '(?i)\\bclaim\\s+(your\\s+)?(share|tokens?|reward|prize|allotment)\\b') AS fake_reward FROM {_T} AS t")
+def scam_phrases(spark: SparkSession, d: str) -> DataFrame:
+    return spark_view(spark, d, X.TEXTS).select("doc_id", T.advance_fee(F.col("text")).alias("advance_fee"), T.fake_reward(F.col("text")).alias("fake_reward"))
+
+
+_PASTED = """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN concat('From: a@b.example', chr(10), 'To: c@d.example', chr(10), 'Subject: x', chr(10), chr(10), text) WHEN 1 THEN concat('From: a', chr(10), 'from: b', chr(10), text)
+  WHEN 2 THEN '  ' WHEN 3 THEN concat('SUBJECT : q', chr(10), 'date: 1', chr(10), 'Message-ID: <x>', chr(10), text) ELSE text END AS text,
+  CASE doc_id % 10 WHEN 0 THEN ' Phishing ' WHEN 1 THEN 'legal' ELSE NULL END AS hint, CASE doc_id % 7 WHEN 0 THEN 'You are a phishing expert.' ELSE NULL END AS system FROM {documents}"""
+
+
+@query("raw_email_headers", f"""SELECT doc_id, len(names)::INTEGER AS n, len(names) >= 3 AS is_mail FROM (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(substr(text, 1, 4000), '(?im)^(From|To|Cc|Subject|Date|Received|Return-Path|Message-ID|Reply-To|MIME-Version|Content-Type|Authentication-Results|DKIM-Signature)\\s*:', 1), lambda x: lower(x))) AS names FROM {sql(_PASTED)} AS p) AS x""")
+def raw_email_headers(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return spark_view(spark, d, _PASTED).select("doc_id", F.size(T.distinct_headers(t)).alias("n"), T.looks_like_raw_email(t).alias("is_mail"))
+
+
+@query("routing", f"""SELECT doc_id, CASE WHEN doc_id % 6 IN (0, 3) THEN 'phishing_direct' WHEN doc_id % 10 = 0 THEN 'phishing_missing_email' WHEN doc_id % 10 = 1 THEN 'unsupported' WHEN doc_id % 7 = 0 THEN 'phishing_missing_email' ELSE 'unsupported' END AS route,
+  CASE WHEN doc_id % 6 IN (0, 3) THEN 'pasted_email' WHEN doc_id % 10 = 0 THEN 'trusted_route_hint_without_email' WHEN doc_id % 10 = 1 THEN 'trusted_route_hint_unsupported' WHEN doc_id % 7 = 0 THEN 'trusted_system_intent_without_email'
+  WHEN doc_id % 6 = 2 THEN 'empty_input' ELSE 'text_not_email' END AS rule FROM documents""")
+def route(spark: SparkSession, d: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    r = routing.route(F.lit(True), none, none, F.col("text"), F.col("hint"), F.col("system"))
+    return spark_view(spark, d, _PASTED).select("doc_id", r.alias("r")).select("doc_id", "r.route", F.col("r.matched_rule").alias("rule"))
+
+
+@query("gateway_banner", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) ELSE md5(text) END AS body FROM documents""")
+def gateway_banner(spark: SparkSession, d: str) -> DataFrame:
+    t = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\n EXTERNAL EMAIL WARNING\nverify the sender"))).otherwise(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.strip_gateway_banner(t).cast("binary")).alias("body"))
+
+
+@query("credential_context")
+def credential_context(spark: SparkSession, d: str) -> DataFrame:
+    from quillsift.sources.mime import credential_in_context
+
+    return spark_view(spark, d, X.TEXTS).select("doc_id", credential_in_context(F.col("text")).alias("asks"))
+
+
+@query("html_facts")
+def html_facts(spark: SparkSession, d: str) -> DataFrame:
+    from quillsift.sources.mime import html_facts as parse
+
+    h = table(spark, d, "pages").select("page_id", parse(F.col("html")).alias("h"))
+    return h.select("page_id", F.length("h.text").alias("n_chars"), F.size("h.links").alias("n_links"), "h.has_form", "h.hidden_chars", "h.has_images")
+
+
+# ---- corpus ------------------------------------------------------------------------------------------------------------
+
+_QUOTA = """SELECT lang, source, n::BIGINT AS n, (base + CASE WHEN rank <= 100 - sum(base) OVER () AND base < n THEN 1 ELSE 0 END)::BIGINT AS quota FROM (SELECT *, row_number() OVER (ORDER BY (base < n)::INT DESC, rest DESC, lang, source) AS rank
+  FROM (SELECT *, floor(100 * n / sum(n) OVER ()) AS base, 100 * n / sum(n) OVER () - floor(100 * n / sum(n) OVER ()) AS rest FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2) AS c) AS b) AS r"""
+
+
+@query("strata_quota", _QUOTA)
+def strata_quota(spark: SparkSession, d: str) -> DataFrame:
+    sizes = table(spark, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+    return corpus.strata_quota(sizes, ["lang", "source"], 100)
+
+
+@query("proportional_sample", f"SELECT doc_id, d.lang, d.source FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id % 17, doc_id) AS rn FROM documents) AS d JOIN ({_QUOTA}) AS q ON q.lang = d.lang AND q.source = d.source WHERE rn <= quota")
+def proportional_sample(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source")
+    return corpus.proportional_sample(docs, ["lang", "source"], 100, F.struct(F.col("doc_id") % 17, F.col("doc_id")))
+
+
+@query("stratified_pick", "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id % 13, doc_id) AS turn FROM documents) AS x ORDER BY turn, source LIMIT 70")
+def stratified_pick(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    return corpus.stratified_pick(docs, "source", 70, F.struct(F.col("doc_id") % 13, F.col("doc_id")), F.col("source"))
+
+
+@query("exclusion_antijoin", "SELECT doc_id FROM documents AS d WHERE NOT EXISTS (SELECT 1 FROM labels AS l WHERE l.doc_id = d.doc_id) AND doc_id % 5 <> 0")
+def exclusion_antijoin(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id")
+    return corpus.exclude(docs, "doc_id", table(spark, d, "labels"), docs.filter("doc_id % 5 = 0"))
+
+
+@query("append_only_expand", "SELECT doc_id FROM labels UNION ALL (SELECT doc_id FROM documents AS d WHERE NOT EXISTS (SELECT 1 FROM labels AS l WHERE l.doc_id = d.doc_id) ORDER BY doc_id DESC LIMIT 40)")
+def append_only_expand(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.expand(table(spark, d, "labels").select("doc_id"), table(spark, d, "documents").select("doc_id"), "doc_id", 40, F.desc("doc_id"))
+
+
+@query("left_join_audit", "SELECT d.doc_id, CASE WHEN d.doc_id % 11 = 0 THEN TRUE ELSE l.toxic = 1 END AS is_spam_not_phishing, CASE WHEN d.doc_id % 11 = 0 THEN 'hand-verified commercial spam' ELSE 'q' || l.quality END AS spam_reason FROM documents AS d LEFT JOIN labels AS l ON l.doc_id = d.doc_id")
+def left_join_audit(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id")
+    known = table(spark, d, "labels").select("doc_id", (F.col("toxic") == 1).alias("likely_spam"), F.concat(F.lit("q"), F.col("quality").cast("string")).alias("spam_reason"))
+    return corpus.attach_audit(docs, known, docs.filter("doc_id % 11 = 0"), "doc_id")
+
+
+def _audit_rows(spark: SparkSession, d: str) -> DataFrame:
+    t = spark_view(spark, d, X.TEXTS)
+    none = F.array().cast("array<string>")
+    return t.select(
+        "doc_id", F.concat(F.lit("re: "), F.element_at(F.split(F.substring("text", -80, 80), r"\n"), -1)).alias("subject"), F.lit("Sender").alias("display_name"), F.concat("source", F.lit(".example.org")).alias("from_domain"),
+        F.col("text").alias("body_text"), (F.col("doc_id") % 3).alias("n_urls"), (F.col("doc_id") % 4 == 0).alias("claims_attachment"), (F.col("doc_id") % 5 == 0).alias("credential_request"),
+        F.when(F.col("doc_id") % 7 == 0, F.array(F.lit("Urgent"))).otherwise(none).alias("urgency"),
+    )
+
+
+@query("spam_audit_ladder")
+def spam_audit_ladder(spark: SparkSession, d: str) -> DataFrame:
+    return audit.classify(_audit_rows(spark, d)).select("doc_id", "likely_spam", "spam_reason", "brand")
+
+
+@query("top_spam_sources", "SELECT source AS from_domain, count(*) FILTER (WHERE doc_id % 3 = 0)::BIGINT AS spam, count(*)::BIGINT AS total FROM documents GROUP BY source HAVING spam > 0 ORDER BY spam DESC, source LIMIT 20")
+def top_spam_sources(spark: SparkSession, d: str) -> DataFrame:
+    return audit.top_spam_domains(table(spark, d, "documents").select(F.col("source").alias("from_domain"), (F.col("doc_id") % 3 == 0).alias("likely_spam")))
+
+
+@query("alias_map", "SELECT real, row_number() OVER (ORDER BY first, real)::BIGINT AS alias_no FROM (SELECT c_mktsegment || '/' || c_nationkey AS real, min(c_custkey) AS first FROM customer GROUP BY 1) AS x")
+def alias_map(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.alias_map(table(spark, d, "customer").select(F.concat("c_mktsegment", F.lit("/"), F.col("c_nationkey").cast("string")).alias("real"), F.col("c_custkey").alias("ord")))
+
+
+@query("anonymised_text", f"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '(?i)sales@shop\\.example\\.net', 'user@example.test', 'g'), 'Dear John Smith,', 'Dear Ad Soyad 1,', 'g').replace('Hello Maria Lopez:', 'Hello Ad Soyad 2:')) AS body FROM {_T} AS t""")
+def anonymised_text(spark: SparkSession, d: str) -> DataFrame:
+    t = spark_view(spark, d, X.TEXTS).select("doc_id", anonymise.redact_own(F.col("text"), "sales@shop.example.net", []).alias("text"))
+    return anonymise.alias_salutations(t, "doc_id", "text", "doc_id").select("doc_id", F.md5(F.col("text").cast("binary")).alias("body"))
+
+
+@query("anonymisation_leaks", f"SELECT doc_id, 'own_address' AS issue FROM {_T} AS t WHERE contains(lower(text), 'sales@shop.example.net') UNION ALL SELECT doc_id, 'salutation_name' FROM {_T} AS t WHERE regexp_matches(text, 'Dear John Smith,|Hello Maria Lopez:')")
+def anonymisation_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return anonymise.leaks(spark_view(spark, d, X.TEXTS).select("doc_id", "text"), "doc_id", "sales@shop.example.net", [])
+
+
+@query("resume_antijoin", "SELECT event_id, user_id FROM events WHERE NOT (event_id % 3 = 0 AND event_id % 9 <> 0)")
+def resume_antijoin(spark: SparkSession, d: str) -> DataFrame:
+    todo = table(spark, d, "events").select("event_id", "user_id")
+    done = todo.filter("event_id % 3 = 0").select("event_id", F.when(F.col("event_id") % 9 == 0, "model_call_failed").alias("error"))
+    return corpus.pending(todo, done, ["event_id"])
+
+
+@query("training_pairs", """SELECT c.conv_id, c.user_text AS prompt, c.bot AS answer FROM (SELECT conv_id, max(CASE WHEN role = 'user' AND turn = 0 THEN text END) AS user_text, max(CASE WHEN role = 'assistant' AND turn = 1 THEN text END) AS bot FROM conversations GROUP BY conv_id) AS c WHERE c.user_text IS NOT NULL AND c.bot IS NOT NULL""")
+def training_pairs(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations")
+    ask = c.filter("role = 'user' AND turn = 0").groupBy("conv_id").agg(F.max("text").alias("prompt")).withColumn("system", F.lit("triage"))
+    say = c.filter("role = 'assistant' AND turn = 1").groupBy("conv_id").agg(F.max("text").alias("answer"))
+    chat = F.from_json("chat", "messages array<struct<role:string,content:string>>")["messages"]
+    return corpus.training_pairs(ask, say, "conv_id").select("conv_id", chat[1]["content"].alias("prompt"), chat[2]["content"].alias("answer"))
+
+
+# ---- evaluation --------------------------------------------------------------------------------------------------------
+
+_SP = sql(X.SPANS)
+_PRF = f"""SELECT type, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS precision, CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS recall, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1
+  FROM (SELECT type, count(*) FILTER (WHERE t AND p) AS tp, count(*) FILTER (WHERE p AND NOT t) AS fp, count(*) FILTER (WHERE t AND NOT p) AS fn FROM (SELECT candidate, type, bool_or(is_truth) AS t, bool_or(is_found) AS p FROM {_SP} AS s GROUP BY 1, 2) AS g GROUP BY type) AS c"""
+
+
+@query("type_level_prf", _PRF)
+def type_level_prf(spark: SparkSession, d: str) -> DataFrame:
+    s = spark_view(spark, d, X.SPANS)
+    types = spark.createDataFrame([(t,) for t in L.FINDING_TYPES], "type string")
+    return metrics.type_confusion(s.filter("is_truth"), s.filter("is_found"), s, types)
+
+
+@query("micro_macro_prf", f"""SELECT sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, round(avg(precision) FILTER (WHERE tp + fp + fn > 0), 9) AS macro_precision, round(avg(recall) FILTER (WHERE tp + fp + fn > 0), 9) AS macro_recall, round(avg(f1) FILTER (WHERE tp + fp + fn > 0), 9) AS macro_f1,
+  sum(tp) / (sum(tp) + sum(fp)) AS precision, sum(tp) / (sum(tp) + sum(fn)) AS recall, 2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)) AS f1 FROM ({_PRF}) AS x""")
+def micro_macro_prf(spark: SparkSession, d: str) -> DataFrame:
+    m = metrics.micro_macro(type_level_prf(spark, d))
+    return m.withColumns({c: F.round(c, 9) for c in m.columns if c.startswith("macro_")})
+
+
+@query("span_iou", f"""SELECT a.candidate, a.type, a.s AS gt_start, b.s AS start, greatest(least(a.e, b.e) - greatest(a.s, b.s), 0) / ((a.e - a.s) + (b.e - b.s) - greatest(least(a.e, b.e) - greatest(a.s, b.s), 0)) AS iou FROM {_SP} AS a JOIN {_SP} AS b ON a.candidate = b.candidate AND a.type = b.type WHERE a.is_truth AND b.is_found""")
+def span_iou(spark: SparkSession, d: str) -> DataFrame:
+    s = spark_view(spark, d, X.SPANS)
+    t = s.filter("is_truth").select("candidate", "type", F.col("s").alias("gt_start"), F.col("e").alias("gt_end"))
+    p = s.filter("is_found").select("candidate", "type", F.col("s").alias("start"), F.col("e").alias("end"))
+    x = t.join(p, ["candidate", "type"])
+    return x.select("candidate", "type", "gt_start", "start", metrics.iou(F.col("gt_start"), F.col("gt_end"), F.col("start"), F.col("end")).alias("iou"))
+
+
+def _few(spark: SparkSession, d: str, flag: str) -> DataFrame:
+    s = spark_view(spark, d, X.SPANS).filter(flag)
+    return s.select(F.xxhash64("candidate", "e", "s").alias("candidate"), "type", F.col("s").alias("start"), F.col("e").alias("end")).distinct()
+
+
+@query("span_quality")
+def span_quality(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.span_quality(metrics.match_spans(_few(spark, d, "is_truth"), _few(spark, d, "is_found")))
+
+
+_AXES = "SELECT DISTINCT candidate, CASE candidate % 4 WHEN 0 THEN 'marketing' WHEN 1 THEN 'neutral' WHEN 2 THEN 'brand' ELSE 'none' END AS axis FROM "
+
+
+@query("false_finding_rate", f"""SELECT axis, count(*)::BIGINT AS n, count(w.candidate)::BIGINT AS n_false, count(w.candidate) / count(*) AS rate FROM ({_AXES}{_SP} AS s) AS c
+  LEFT JOIN (SELECT DISTINCT candidate FROM {_SP} AS f WHERE is_found AND NOT EXISTS (SELECT 1 FROM {_SP} AS t WHERE t.is_truth AND t.candidate = f.candidate AND t.type = f.type)) AS w ON w.candidate = c.candidate GROUP BY axis""")
+def false_finding_rate(spark: SparkSession, d: str) -> DataFrame:
+    s = spark_view(spark, d, X.SPANS)
+    axes = spark.sql(_AXES + "{s}", s=s)
+    return metrics.false_finding_rate(axes, s.filter("is_found"), s.filter("is_truth"))
+
+
+_CLAIM = """SELECT id, CASE id % 8 WHEN 0 THEN 'SPF sonucu fail' WHEN 1 THEN '2 kisaltici link' WHEN 2 THEN 'DMARC kaydi' WHEN 3 THEN 'hidden text var' WHEN 4 THEN 'bilinmeyen iddia' WHEN 5 THEN '1 punycode alan adi' WHEN 6 THEN 'return-path farkli' ELSE 'credential istegi' END AS claim FROM """
+
+
+@query("groundedness", f"""SELECT id, coalesce(CASE id % 8 WHEN 0 THEN TRUE WHEN 1 THEN FALSE WHEN 2 THEN TRUE WHEN 3 THEN has_hidden_text WHEN 4 THEN FALSE WHEN 5 THEN url_puny WHEN 6 THEN return_path_mismatch ELSE credential_request END, FALSE) AS grounded FROM {sql(X.SIGNALS)} AS s""")
+def groundedness(spark: SparkSession, d: str) -> DataFrame:
+    s = X.flat(spark_view(spark, d, X.SIGNALS))
+    claims = s.join(spark.sql(_CLAIM + "{s}", s=s), "id")
+    return metrics.groundedness(claims).select("id", "grounded")
+
+
+_LONG = f"(SELECT language, rule_verdict, 'a' AS backend, a_usable AS usable, a_prob AS prob FROM {sql(X.SHADOW)} AS s UNION ALL SELECT language, rule_verdict, 'b', b_usable, b_prob FROM {sql(X.SHADOW)} AS s)"
+
+
+@query("shadow_agreement", f"""SELECT backend, language, count(*)::BIGINT AS n, count(*) FILTER (WHERE usable)::BIGINT AS n_usable, count(*) FILTER (WHERE usable AND prob >= 0.5 AND rule_verdict = 'Phishing')::BIGINT AS agreed,
+  count(*) FILTER (WHERE usable AND rule_verdict = 'Phishing')::BIGINT AS n_bad, count(*) FILTER (WHERE usable AND prob >= 0.5 AND rule_verdict <> 'Phishing')::BIGINT AS false_positives, count(*) FILTER (WHERE NOT usable)::BIGINT AS skipped FROM {_LONG} AS l GROUP BY 1, 2""")
+def shadow_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.shadow_agreement(spark_view(spark, d, X.SHADOW), ["a", "b"])
+
+
+@query("ensemble_vote", f"""SELECT vec_id, a_usable AND b_usable AND c_usable AS usable, CASE WHEN a_usable AND b_usable AND c_usable THEN (a_prob + b_prob + c_prob) / 3 END AS mean_prob,
+  CASE WHEN a_usable AND b_usable AND c_usable THEN CASE WHEN (a_prob >= 0.5)::INT + (b_prob >= 0.5)::INT + (c_prob >= 0.5)::INT >= 2 THEN 1.0 ELSE 0.0 END END::DOUBLE AS majority FROM {sql(X.SHADOW)} AS s""")
+def ensemble_vote(spark: SparkSession, d: str) -> DataFrame:
+    e = metrics.ensembles(spark_view(spark, d, X.SHADOW), ["a", "b", "c"])
+    return e.select("vec_id", F.col("ensemble_mean_usable").alias("usable"), F.col("ensemble_mean_prob").alias("mean_prob"), F.col("ensemble_majority_prob").alias("majority"))
+
+
+@query("soak_summary", f"""SELECT user_id, count(*)::BIGINT AS requests, count(*) FILTER (WHERE hard_failure)::BIGINT AS failures, list_min(s) AS seconds_min, s[least(len(s), floor(len(s) * 0.5)::INT + 1)] AS seconds_median, list_max(s) AS seconds_max
+  FROM (SELECT user_id, hard_failure, list_sort(list(elapsed_seconds) FILTER (WHERE NOT hard_failure) OVER (PARTITION BY user_id)) AS s FROM {sql(X.RUNS)} AS r) AS x GROUP BY user_id, s""")
+def soak_summary(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.soak_summary(spark_view(spark, d, X.RUNS), ["user_id"])
+
+
+@query("consecutive_failures", f"SELECT seq, user_id FROM (SELECT *, lag(hard_failure) OVER (PARTITION BY user_id ORDER BY seq) AS b FROM {sql(X.RUNS)} AS r) AS x WHERE hard_failure AND b")
+def consecutive_failures(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.consecutive_failures(spark_view(spark, d, X.RUNS), ["user_id"]).select("seq", "user_id")
+
+
+_FIELDS = ("spf_result", "dkim_result", "from_domain", "display_name_has_email", "reply_to_mismatch")
+_LEAK = " UNION ALL ".join(f"SELECT '{f}' AS field, CAST({f} AS VARCHAR) AS value, lab FROM y" for f in (*_FIELDS, "copy"))
+
+
+@query("leakage_fields", f"""WITH y AS (SELECT *, CASE WHEN id % 3 = 0 THEN 'phishing' ELSE 'legitimate' END AS lab, 'k' || (id % 3) AS copy FROM {sql(X.SIGNALS)} AS s),
+  u AS ({_LEAK}), c AS (SELECT field, value, count(*) AS n, count(DISTINCT lab) AS labels FROM u WHERE value IS NOT NULL GROUP BY 1, 2 HAVING n >= 2) SELECT field, count(*)::BIGINT AS recurring FROM c GROUP BY field HAVING bool_and(labels = 1)""")
+def leakage_fields(spark: SparkSession, d: str) -> DataFrame:
+    s = spark_view(spark, d, X.SIGNALS).withColumn("copy", F.concat(F.lit("k"), (F.col("id") % 3).cast("string")))
+    return metrics.leakage(s, "id", "label", [*_FIELDS, "copy"])
+
+
+_RELIABLE = """SELECT event_id % 20 = 0 AS workflow_hard_failure, CASE event_id % 3 WHEN 0 THEN 'Phishing' WHEN 1 THEN 'Muhtemel Phishing' ELSE 'Güvenilir' END AS rule_verdict,
+  CASE WHEN event_id % 3 = 2 AND event_id % 4 = 0 THEN 'Muhtemel Phishing' WHEN event_id % 3 = 0 THEN 'Phishing' WHEN event_id % 3 = 1 THEN 'Muhtemel Phishing' ELSE 'Güvenilir' END AS final_verdict,
+  CASE event_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'skipped' ELSE 'completed' END AS semantic_status, CASE event_id % 6 WHEN 0 THEN 'failed_fallback' WHEN 1 THEN 'not_requested' ELSE 'completed' END AS narrative_status FROM {events}"""
+
+
+@query("reliability_metrics", f"""SELECT rule_verdict, count(*)::BIGINT AS runs, count(*) FILTER (WHERE workflow_hard_failure)::BIGINT AS hard_failures, count(*) FILTER (WHERE semantic_status = 'failed')::BIGINT AS semantic_failed,
+  count(*) FILTER (WHERE narrative_status = 'failed_fallback')::BIGINT AS narrative_fallback, count(*) FILTER (WHERE semantic_status <> 'failed' AND narrative_status = 'failed_fallback')::BIGINT AS narrative_only_failed,
+  count(*) FILTER (WHERE final_verdict <> rule_verdict)::BIGINT AS changed FROM {sql(_RELIABLE)} AS r GROUP BY rule_verdict""")
+def reliability_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.reliability(spark_view(spark, d, _RELIABLE))
+
+
+@query("baseline_histogram", f"SELECT engine, verdict, count(*)::BIGINT AS n FROM {_ENGINES} AS e GROUP BY 1, 2")
+def baseline_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.histogram(engines(spark, d), "engine", "verdict")
+
+
+# ---- whole workflow over messages built from documents ----------------------------------------------------------------
+
+
+def messages(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, content): a message for each document."""
+    head = F.concat(
+        F.lit("From: \"PayPal Service\" <service@"), F.col("source"), F.lit(".example.com>\r\nReply-To: help@gmail.com\r\nReturn-Path: <b@"), F.col("source"),
+        F.lit(".example.com>\r\nAuthentication-Results: mx; spf=pass smtp.mailfrom=b@mail.example.com; dkim=pass header.d=mail.example.com; dmarc=fail\r\nMessage-ID: <1@"), F.col("source"),
+        F.lit(".example.com>\r\nReceived: from a ([10.0.0.1]) by b\r\nSubject: hello\r\nMIME-Version: 1.0\r\nContent-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: 8bit\r\n\r\n"),
+    )
+    return spark_view(spark, d, X.TEXTS).select("doc_id", F.concat(head, F.col("text")).cast("binary").alias("content"))
+
+
+@query("triage_fast")
+def triage_fast(spark: SparkSession, d: str) -> DataFrame:
+    from quillsift.plans.triage import facts, triage
+
+    t = triage(facts(messages(spark, d), "doc_id"), "doc_id")
+    return t.select("doc_id", "final_verdict", "assessment.score", F.array_join("assessment.evidence.signal", ",").alias("signals"), "report.risk_seviyesi")
+
+
+@query("mime_parse")
+def mime_parse(spark: SparkSession, d: str) -> DataFrame:
+    from quillsift.plans.triage import facts
+
+    f = facts(messages(spark, d), "doc_id")
+    return f.select("doc_id", "spf_result", "dkim_result", "dmarc_result", "dkim_domain_matches_from", "from_domain", "display_name", "display_name_brand_mismatch", "received_hop_count", "first_received_ip", F.size("urls").alias("n_urls"), "language", "credential_request", "error")
