@@ -61,6 +61,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """All columns of docs in the struct _row, and the named ones beside it: no helper column can clash with docs' own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).select("_row", *[F.col("_row").getField(n).alias(n) for n in names])
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once: a lambda variable, not a repeated expression."""
     return F.element_at(F.transform(F.array(value), body), 1)

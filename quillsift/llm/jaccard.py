@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillsift.llm.bytehash import LOWER, SPACE, U64, Hashes, flat, mix, slices
-from quillsift.llm.common import arrow_batches, row_key, stage
+from quillsift.llm.common import arrow_batches, packed, row_key, stage
 from quillsift.llm.components import components
 
 N, LEAST = 4, 85
@@ -408,16 +408,15 @@ def join(docs: DataFrame, n: int = N, least: int = LEAST, block: int = BLOCK) ->
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: the row of its smallest doc_id. Rows with an empty set all stay."""
-    names = docs.columns
     found = join(docs.select("doc_id", "text"))
     stay = found.filter((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = stage(stay.groupBy("k").agg(F.max("n_shingles").alias("_n"), F.first("doc_id").alias("_d")), "jaccard-stay")
-    keyed = docs.withColumn("_k", row_key("doc_id", "text"))
+    keyed = packed(docs, "doc_id", "text").withColumn("_k", row_key("doc_id", "text"))
     kept = keyed.join(stay, F.col("_k") == F.col("k"))
     # several rows with one doc_id are several rows of a component: the first text stays
     order = Window.partitionBy("doc_id").orderBy("_k")
     kept = kept.withColumn("_i", F.row_number().over(order)).filter("_i = 1 OR _n = 0 OR doc_id IS NULL")
-    return kept.select(*[F.col(f"`{c}`") for c in names])
+    return kept.select("_row.*")
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import row_key, stage
+from quillsift.llm.common import packed, row_key, stage
 
 EDITS = 1
 MIN_CHARS = 20
@@ -191,9 +191,11 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """docs with the kept text; documents of which no line with a word is left are dropped, those that had none stay."""
-    out = dedup(docs).filter("_lines = 0 OR _removed < _lines")
-    cols = [F.col("_kept").alias(c) if c == "text" else F.length("_kept").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*cols)
+    out = dedup(packed(docs, "doc_id", "text")).filter("_lines = 0 OR _removed < _lines")
+    row = F.col("_row").withField("text", F.col("_kept"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length("_kept").cast(docs.schema["n_chars"].dataType))
+    return out.select(row.alias("_row")).select("_row.*")
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -20,13 +20,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import WORD, row_key, stage
+from quillsift.llm.common import WORD, packed, row_key, stage
 
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
 SHARD_WORDS = 2_000_000
 SHARD_DOCS = 1024
-BLOCK_WORDS = 256
+BLOCK_WORDS = 16
 #: Tables of sources up to this many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_SOURCES = 10_000
 SEED = 20
@@ -107,16 +107,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED, b
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it is taken, with docs' own columns."""
-    names = docs.columns
     seed = how.get("seed", SEED)
-    plan = mix(docs, **how).filter("copies > 0").groupBy("doc_id", "_h").agg(F.sum("copies").cast("int").alias("_sum"))
+    plan = mix(docs.select("doc_id", "text", "source"), **how).filter("copies > 0").groupBy("doc_id", "_h").agg(F.sum("copies").cast("int").alias("_sum"))
     plan = stage(plan.select(F.col("doc_id").alias("_d"), F.col("_h").alias("_kk"), "_sum"), "mix-plan")
-    keyed = docs.withColumn("_k", F.xxhash64(F.lit(seed), row_key("doc_id", "text")))
+    keyed = packed(docs, "doc_id", "text").withColumn("_k", F.xxhash64(F.lit(seed), row_key("doc_id", "text")))
     joined = keyed.join(plan, (F.col("_k") == F.col("_kk")) & F.col("doc_id").eqNullSafe(F.col("_d")))
     # identical rows share a key and a sum: the first of them stands for all
     same = Window.partitionBy("_k", "doc_id").orderBy("_sum")
     first = joined.withColumn("_i", F.row_number().over(same)).filter("_i = 1")
-    return first.withColumn("_t", F.explode(F.sequence(F.lit(1), "_sum"))).select(*[F.col(f"`{c}`") for c in names])
+    return first.withColumn("_t", F.explode(F.sequence(F.lit(1), "_sum"))).select("_row.*")
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import SPACES, let
+from quillsift.llm.common import SPACES, let, packed
 
 #: Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -131,7 +131,7 @@ def quality_rules(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def filter_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs that the rules keep, with docs' own columns."""
-    return quality_rules(docs, text).filter("_quality.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return quality_rules(packed(docs, text), text).filter("_quality.kept").select("_row.*")
 
 
 def query(docs: DataFrame) -> DataFrame:
