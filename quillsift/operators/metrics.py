@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillsift.functions import lexicon as L
+from quillsift.session import ship
 
 MAX_SPANS = 6
 
@@ -93,6 +94,7 @@ def best_matching(truth: list[tuple[int, int]], found: list[tuple[int, int]]) ->
 
 def match_spans(truth: DataFrame, found: DataFrame) -> DataFrame:
     """(candidate, type, gt_start, gt_end, start, end, iou) of both sides' spans (candidate, type, start, end); unmatched ones have nulls."""
+    ship(truth.sparkSession)
     t = truth.groupBy("candidate", "type").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("t"))
     p = found.groupBy("candidate", "type").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("p"))
     pairs = "array<struct<gt_start:int,gt_end:int,start:int,end:int,iou:double>>"

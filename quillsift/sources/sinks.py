@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillsift.session import ship
+
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     """JSON lines; the committer makes the write atomic."""
@@ -27,6 +29,7 @@ def _page(r: dict) -> str:
 
 def render_html(report: Column) -> Column:
     """A report struct as an HTML page; all values are escaped."""
+    ship()
 
     @F.pandas_udf("string")
     def run(reports: pd.DataFrame) -> pd.Series:
