@@ -31,6 +31,7 @@ LIMIT = 1024
 END = 2
 SHARD = 4096
 ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 3, 4
+MAX_TASKS = 20_000
 SPECIAL = "<|endoftext|>"
 
 _TOKENIZERS: dict = {}
@@ -233,8 +234,10 @@ def pack_lengths(shards: DataFrame, limit: int = LIMIT, seed: int = 5) -> DataFr
 
         return run
 
+    # evolving is slow for its bytes: a task for few islands each, whatever their size
+    parts = max(1, min(ISLANDS * shards.count(), MAX_TASKS))
     for e in range(EPOCHS):
-        grown = islands.select("shard", F.col("island").cast("int").alias("island"), "sizes", "own", "guest").repartition("shard", "island").mapInArrow(epoch(e), "shard long, island int, sizes binary, own binary, bins long")
+        grown = islands.select("shard", F.col("island").cast("int").alias("island"), "sizes", "own", "guest").repartition(parts, "shard", "island").mapInArrow(epoch(e), "shard long, island int, sizes binary, own binary, bins long")
         grown = stage(grown, f"pack-epoch{e}")
         elite = grown.select("shard", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("own").alias("guest"))
         islands = grown.join(elite, ["shard", "island"])
