@@ -91,11 +91,11 @@ def pasted(spark: SparkSession, *texts: str) -> DataFrame:
 
 def read_markdown_labels(spark: SparkSession, path: str) -> DataFrame:
     """(path, label) of worksheets: blocks that name a path in back quotes and hold a `label: value` line."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     blocks = whole.select(F.explode(F.split("value", r"(?m)^##+ ")).alias("block"))
     return blocks.select(
         F.nullif(F.regexp_extract("block", r"`([^`]+\.eml)`", 1), F.lit("")).alias("path"),
-        F.nullif(F.lower(F.regexp_extract("block", r"(?im)^\W*label\W*:\W*([a-z_]+)", 1)), F.lit("")).alias("label"),
+        F.nullif(F.lower(F.regexp_extract("block", r"(?im)^[^\w\n:]*label[^\w\n:]*:[^\w\n]*([a-z_]+)", 1)), F.lit("")).alias("label"),
     ).filter("path IS NOT NULL")
 
 
@@ -105,7 +105,7 @@ def read_yaml_blocks(spark: SparkSession, path: str) -> DataFrame:
 
     import pandas as pd
 
-    whole = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("source"), F.explode(F.regexp_extract_all("value", F.lit(r"(?s)```yaml\n(.*?)```"), F.lit(1))).alias("block"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.explode(F.regexp_extract_all("value", F.lit(r"(?s)```yaml\n(.*?)```"), F.lit(1))).alias("block"))
 
     @F.pandas_udf("string")
     def parse(blocks: pd.Series) -> pd.Series:
