@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import mailbox
 import os
 import tempfile
 from collections.abc import Iterator
 
+import pandas as pd
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,8 +59,6 @@ def read_mbox(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def split(batches):
-        import pandas as pd
-
         for b in batches:
             for p, c in zip(b["path"], b["content"], strict=True):
                 with tempfile.NamedTemporaryFile() as f:  # mailbox reads files only
@@ -101,11 +101,7 @@ def read_markdown_labels(spark: SparkSession, path: str) -> DataFrame:
 
 def read_yaml_blocks(spark: SparkSession, path: str) -> DataFrame:
     """(source, doc) of the ```yaml blocks of Markdown files, each as JSON; blocks that do not parse have a null doc."""
-    import json
-
-    import pandas as pd
-
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.explode(F.regexp_extract_all("value", F.lit(r"(?s)```yaml\n(.*?)```"), F.lit(1))).alias("block"))
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), F.explode(F.regexp_extract_all("value", F.lit(r"(?s)```yaml\n(.*?)```"), F.lit(1))).alias("block"))
 
     @F.pandas_udf("string")
     def parse(blocks: pd.Series) -> pd.Series:
