@@ -166,10 +166,10 @@ def _windows(contexts: DataFrame, cells: DataFrame, width: int) -> DataFrame:
             key, at, where, n, core = (np.array(v, np.int64) for v in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 5
             row = np.repeat(np.arange(len(n)), n)
             step = np.arange(len(row)) - np.repeat(n.cumsum() - n, n)
-            window = mix(mix(h.of(at[row] + step, at[row] + step + width)) + core[row].view(U64))
-            yield pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array((where[row] + step).astype(np.int32)), pa.array(_i64(window))], names=["k", "pos", "window"])
+            window = mix(h.of(at[row] + step, at[row] + step + width))
+            yield pa.RecordBatch.from_arrays([pa.array(key[row]), pa.array((where[row] + step).astype(np.int32)), pa.array(core[row]), pa.array(_i64(window))], names=["k", "pos", "core", "window"])
 
-    return contexts.join(wanted, ["k", "pos"]).select("k", "pos", "bytes", "cells").mapInArrow(run, "k long, pos int, window long")
+    return contexts.join(wanted, ["k", "pos"]).select("k", "pos", "bytes", "cells").mapInArrow(run, "k long, pos int, core long, window long")
 
 
 def repeated(docs: DataFrame, width: int = WIDTH, key: int = KEY, cell: int = CELL) -> DataFrame:
@@ -181,8 +181,8 @@ def repeated(docs: DataFrame, width: int = WIDTH, key: int = KEY, cell: int = CE
     cells = stage(_cells(contexts, width, cell), "suffix-cells")
     more, rest = _split(cells, "1")
     windows = stage(_windows(contexts, rest, width), "suffix-windows")
-    twice = stage(windows.groupBy("window").agg(F.count("*").alias("_c")).filter("_c > 1").select("window"), "suffix-twice")
-    single = windows.join(twice, "window").select("k", "pos", F.lit(1).alias("n"))
+    twice = stage(windows.groupBy("core", "window").agg(F.count("*").alias("_c")).filter("_c > 1").select("core", "window"), "suffix-twice")
+    single = windows.join(twice, ["core", "window"]).select("k", "pos", F.lit(1).alias("n"))
     out = single
     for part in [*done, *more]:
         out = out.unionByName(part.select("k", "pos", "n"))
