@@ -22,4 +22,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
     if n > most:
         known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(_GRAIN)) < int(_GRAIN * most / n))
     part = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5).cast("int")
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id").withColumn("part", part)
+    # the picked labels are bounded by `most`, so sending them to all tasks spares a shuffle of the texts
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id").withColumn("part", part)
