@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -523,7 +524,25 @@ def _audit_rows(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("spam_audit_ladder")
+def _rx(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+_BRAND_HIT = "coalesce(" + ", ".join(
+    f"CASE WHEN (regexp_matches(lower({{0}}), '\\b{re.escape(b)}\\b') OR regexp_matches(translate(lower({{0}}), 'l10534@', 'iioseaa'), '\\b{re.escape(b.translate(str.maketrans('l10534@', 'iioseaa')))}\\b')) THEN '{b}' END" for b in audit.BRAND_DOMAINS
+) + ")"  # the senders' domains (srcN.example.org) belong to no brand
+_TOPIC, _ASK = _rx("(?i)" + "|".join(audit.SPAM_TOPICS)), _rx("(?i)" + "|".join(audit.CREDENTIAL))
+_AUDIT = f"""WITH t AS (SELECT doc_id, text, 're: ' || string_split(right(text, 80), chr(10))[-1] || ' Sender' AS h, substr(text, 1, 400) AS s FROM {_T} AS x),
+  m AS (SELECT *, coalesce({_BRAND_HIT.format("h")}, {_BRAND_HIT.format("s")}) AS brand, h || ' ' || substr(text, 1, 2000) AS w,
+    regexp_matches(h, '{_TOPIC}') OR regexp_matches(s, '{_TOPIC}') AS topic, regexp_matches(h, '{_ASK}') OR regexp_matches(s, '{_ASK}') OR regexp_matches(translate(lower(h), 'l10534@', 'iioseaa'), '{_ASK}') AS ask FROM t),
+  r AS (SELECT *, CASE WHEN brand IS NOT NULL THEN 'brand_impersonation' WHEN ask AND NOT topic THEN 'credential_request' WHEN regexp_matches(w, '(?i){_rx(audit.SCAM)}') THEN 'advance_fee'
+    WHEN doc_id % 7 = 0 AND doc_id % 3 > 0 AND NOT topic THEN 'urgency_and_link' WHEN topic THEN 'spam_topic' WHEN doc_id % 5 = 0 AND regexp_matches(w, '(?i){_rx(audit.BOILERPLATE)}') AND NOT ask THEN 'boilerplate_confirm'
+    WHEN doc_id % 5 = 0 AND NOT ask THEN 'unspecific_credential' WHEN regexp_matches(w, '(?i){_rx(audit.MARKETING)}') AND NOT ask THEN 'marketing'
+    WHEN doc_id % 3 = 0 AND doc_id % 4 <> 0 AND doc_id % 7 <> 0 THEN 'low_signal' ELSE 'default_phishing' END AS spam_reason FROM m)
+  SELECT doc_id, spam_reason IN ('spam_topic', 'boilerplate_confirm', 'unspecific_credential', 'marketing', 'low_signal') AS likely_spam, spam_reason, brand FROM r"""
+
+
+@query("spam_audit_ladder", _AUDIT)
 def spam_audit_ladder(spark: SparkSession, d: str) -> DataFrame:
     return audit.classify(_audit_rows(spark, d)).select("doc_id", "likely_spam", "spam_reason", "brand")
 
@@ -708,3 +727,99 @@ def mime_parse(spark: SparkSession, d: str) -> DataFrame:
 
     f = facts(messages(spark, d), "doc_id")
     return f.select("doc_id", "spf_result", "dkim_result", "dmarc_result", "dkim_domain_matches_from", "from_domain", "display_name", "display_name_brand_mismatch", "received_hop_count", "first_received_ip", F.size("urls").alias("n_urls"), "language", "credential_request", "error")
+
+
+# ---- further small operators -------------------------------------------------------------------------------------------
+
+_NE = ("spf_result", "dkim_result", "return_path_mismatch", "n_urls")
+
+
+@query("nonempty_signals", f"""SELECT id, concat_ws(',', CASE WHEN dkim_result IS NOT NULL THEN 'dkim_result' END, CASE WHEN n_urls > 0 THEN 'n_urls' END, CASE WHEN return_path_mismatch THEN 'return_path_mismatch' END, 'spf_result') AS names FROM {sql(X.SIGNALS)} AS s""")
+def nonempty_signals(spark: SparkSession, d: str) -> DataFrame:
+    from quillsift.operators.prompts import nonempty_signals as kept
+
+    return spark_view(spark, d, X.SIGNALS).select("id", F.array_join(F.array_sort(F.map_keys(kept(list(_NE)))), ",").alias("names"))
+
+
+@query("url_prompt_block", """SELECT page_id, '- ' || CASE WHEN contains(url, '?') THEN split_part(url, '?', 1) ELSE split_part(url, '#', 1) END
+  || CASE WHEN contains(url, '?') AND regexp_matches(lower(substr(url, instr(url, '?') + 1)), 'http%3a|https?://') THEN ' [redirect]' ELSE '' END AS block FROM pages""")
+def url_prompt_block(spark: SparkSession, d: str) -> DataFrame:
+    from quillsift.operators.prompts import url_block
+
+    return table(spark, d, "pages").select("page_id", url_block(F.array(U.url_fact(F.col("url"), F.lit(None).cast("string")))).alias("block"))
+
+
+_LOGITS = "SELECT event_id, CAST(event_id % 7 AS DOUBLE) AS a, CAST(event_id % 5 AS DOUBLE) AS b, CAST(event_id % 3 AS DOUBLE) AS c FROM {events}"
+
+
+@query("intent_bands", f"""SELECT event_id, CASE WHEN p >= 0.7 THEN k ELSE 'cybersec_qa' END AS persona, round(p, 9) AS confidence, p < 0.4 AS fallback FROM (SELECT event_id, greatest(exp(a), exp(b), exp(c)) / (exp(a) + exp(b) + exp(c)) AS p,
+  CASE WHEN c >= a AND c >= b THEN 'phishing' WHEN b >= a THEN 'log' ELSE 'alakasiz' END AS k FROM {sql(_LOGITS)} AS l) AS x""")
+def intent_bands(spark: SparkSession, d: str) -> DataFrame:
+    logits = F.create_map(F.lit("alakasiz"), F.col("a"), F.lit("log"), F.col("b"), F.lit("phishing"), F.col("c"))
+    i = spark_view(spark, d, _LOGITS).select("event_id", routing.intent(logits).alias("i"))
+    return i.select("event_id", "i.persona", F.round("i.confidence", 9).alias("confidence"), "i.fallback")
+
+
+@query("shadow_plan", f"""SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN 'too_short' WHEN language = 'en' THEN 'score' WHEN a_prob < 0.8 THEN 'low_confidence' WHEN language = 'xx' THEN 'unsupported_language' ELSE 'translate' END AS plan FROM {sql(X.SHADOW)} AS s""")
+def shadow_plan(spark: SparkSession, d: str) -> DataFrame:
+    from quillsift.operators.providers import shadow_plan as plan
+
+    s = spark_view(spark, d, X.SHADOW)
+    return s.select("vec_id", plan(F.when(F.col("vec_id") % 10 == 0, "short").otherwise("a text of some length"), F.col("language"), F.col("a_prob")).alias("plan"))
+
+
+@query("force_include", "(SELECT doc_id FROM documents WHERE doc_id % 50 = 0) UNION ALL (SELECT doc_id FROM documents WHERE doc_id % 50 <> 0 AND doc_id % 2 = 1 ORDER BY doc_id LIMIT greatest(0, 90 - (SELECT count(*) FROM documents WHERE doc_id % 50 = 0)))")
+def force_include(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id")
+    forced = docs.filter("doc_id % 50 = 0")
+    return corpus.force_include(docs, forced, "doc_id", F.col("doc_id") % 2 == 1, 90 if forced.limit(91).count() <= 90 else forced.count(), F.col("doc_id"))
+
+
+@query("selection_overlap", "SELECT doc_id FROM documents WHERE doc_id % 6 = 0 INTERSECT SELECT doc_id FROM documents WHERE doc_id % 10 = 0")
+def selection_overlap(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id")
+    return corpus.disjoint(docs.filter("doc_id % 6 = 0"), docs.filter("doc_id % 10 = 0"), "doc_id")
+
+
+@query("config_hash", "SELECT c_custkey, sha256(c_name || chr(0) || c_mktsegment) AS key FROM customer")
+def config_hash(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select("c_custkey", corpus.config_hash(F.col("c_name"), F.col("c_mktsegment")).alias("key"))
+
+
+@query("hash_split")
+def hash_split(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.histogram(corpus.hash_split(table(spark, d, "documents"), F.col("doc_id"), 10, 7), "split")
+
+
+@query("file_aliases", "SELECT real, printf('file-%04d', (row_number() OVER (ORDER BY first, real))::INTEGER - 1) || CASE WHEN contains(real, '.') THEN '.' || regexp_extract(real, '\\.([^.]*)$', 1) ELSE '' END AS alias FROM (SELECT p_brand || CASE WHEN p_partkey % 2 = 0 THEN '.pdf' ELSE '' END AS real, min(p_partkey) AS first FROM part GROUP BY 1) AS x")
+def file_aliases(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select(F.concat("p_brand", F.when(F.col("p_partkey") % 2 == 0, ".pdf").otherwise("")).alias("real"), F.col("p_partkey").alias("ord"))
+    return anonymise.alias_files(p).select("real", "alias")
+
+
+@query("model_eval", """SELECT event_type, count(*)::BIGINT AS n, round(avg((event_id % 4 <> 0)::INT), 9) AS schema_rate, round(avg((event_id % 3 = event_id % 2)::INT), 9) AS echo_rate, round(avg((event_id % 10) / 10), 9) AS mean_groundedness FROM events GROUP BY event_type""")
+def model_eval(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "events").select("event_type", (F.col("event_id") % 4 != 0).alias("schema_valid"), (F.col("event_id") % 3).alias("verdict"), (F.col("event_id") % 2).alias("expected"), ((F.col("event_id") % 10) / 10).alias("groundedness"))
+    m = metrics.model_eval(r, ["event_type"])
+    return m.select("event_type", "n", *[F.round(c, 9).alias(c) for c in ("schema_rate", "echo_rate", "mean_groundedness")])
+
+
+@query("parse_errors", "SELECT 0::BIGINT AS errors")
+def parse_errors(spark: SparkSession, d: str) -> DataFrame:
+    from quillsift.sources.mime import mime_explode
+
+    return mime_explode(messages(spark, d)).agg(F.count("error").alias("errors"))
+
+
+@query("external_urls", f"SELECT page_id, {_LAST2} <> 'example.com' AS has_external_url FROM pages")
+def external_urls(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "pages").select("page_id", F.lit("news.example.com").alias("from_domain"), F.array(U.url_fact(F.col("url"), F.lit(None).cast("string"))).alias("urls"))
+    return policy.external_by_root(p, "page_id").select("page_id", "has_external_url")
+
+
+@query("review_worksheet", "SELECT doc_id, '## `' || source || '/' || doc_id || '.eml`' || chr(10) || 'lang: ' || lang || chr(10) || 'label: ' || chr(10) AS block FROM documents")
+def review_worksheet(spark: SparkSession, d: str) -> DataFrame:
+    from quillsift.sources.sinks import worksheet
+
+    docs = table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".eml")).alias("path"), "lang")
+    return docs.select("doc_id", "path").join(worksheet(docs, "path", [F.concat(F.lit("lang: "), F.col("lang"))]), "path").select("doc_id", "block")
