@@ -73,8 +73,12 @@ def sql(template: str) -> str:
 
 
 def spark_view(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
-    """A template over the tables of sf_dir."""
-    return spark.sql(template, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables(template)})
+    """A template over the tables of sf_dir; texts in fewer files than cores are dealt out first, as their work is per character."""
+    read = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables(template)}
+    cores = spark.sparkContext.defaultParallelism
+    if "documents" in read and len(read["documents"].inputFiles()) < cores:
+        read["documents"] = read["documents"].repartition(cores)
+    return spark.sql(template, **read)
 
 
 def flat(df: DataFrame) -> DataFrame:
