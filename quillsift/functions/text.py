@@ -62,18 +62,32 @@ def _keyword_pattern(keyword: str) -> str:
     return r"\b" + keyword + (r"\w*" if keyword in L.URGENCY_STEMS else r"\b")
 
 
+_FOLD = ("İıſK", "iisk")
+
+
+def _folded(text: Column) -> Column:
+    """Lower case in which letters that a case-insensitive pattern takes for each other are one."""
+    return F.lower(F.translate(text, *_FOLD))
+
+
 def urgency_hits(text: Column, language: Column) -> Column:
     """array<struct<keyword, context>> of the language's keywords (both lists for other), first hit each, by keyword."""
-    hits = []
-    for lists, keywords in ((("tr", "other"), L.URGENCY_TR), (("en", "other"), L.URGENCY_EN)):
-        for k in keywords:
-            pattern = _keyword_pattern(k)
-            start = F.length(F.regexp_extract(text, f"(?iuUs)^(.*?){pattern}", 1))
-            length = F.length(F.regexp_extract(text, f"(?iuU){pattern}", 0))
-            first = F.greatest(start - CONTEXT_CHARS, F.lit(0))
-            context = strip(F.replace(F.substr(text, first + 1, start + length + CONTEXT_CHARS - first), F.lit("\n"), F.lit(" ")))
-            hits.append(F.when(language.isin(*lists) & finds(text, pattern), F.struct(F.lit(k).alias("keyword"), context.alias("context"))))
-    return F.array_sort(F.filter(F.array(*hits), lambda h: h.isNotNull()))
+
+    def found(folded: Column) -> Column:
+        hits = []
+        for lists, keywords in ((("tr", "other"), L.URGENCY_TR), (("en", "other"), L.URGENCY_EN)):
+            for k in keywords:
+                pattern = _keyword_pattern(k)
+                start = F.length(F.regexp_extract(text, f"(?iuUs)^(.*?){pattern}", 1))
+                length = F.length(F.regexp_extract(text, f"(?iuU){pattern}", 0))
+                first = F.greatest(start - CONTEXT_CHARS, F.lit(0))
+                context = strip(F.replace(F.substr(text, first + 1, start + length + CONTEXT_CHARS - first), F.lit("\n"), F.lit(" ")))
+                # a plain search comes first: patterns are slow, and most texts hold no keyword
+                near = language.isin(*lists) & F.contains(folded, F.lit(k.translate(str.maketrans(*_FOLD)).lower()))
+                hits.append(F.when(near & finds(text, pattern), F.struct(F.lit(k).alias("keyword"), context.alias("context"))))
+        return F.array_sort(F.filter(F.array(*hits), lambda h: h.isNotNull()))
+
+    return F.element_at(F.transform(F.array(_folded(text)), found), 1)
 
 
 def urgency_keywords(text: Column, language: Column) -> Column:

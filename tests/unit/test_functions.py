@@ -61,13 +61,14 @@ def test_extension_mismatch(spark):
 
 def test_urgency_by_language_with_context(spark):
     text = "😀 " + "x" * 60 + "\nPlease ACT NOW or it will expire\n" + "y" * 60
-    df = spark.createDataFrame([(text, "en"), ("acilen ve hemen tıklayın", "tr"), ("urgent acil", "other"), ("urgent", "tr")], "t string, l string")
+    df = spark.createDataFrame([(text, "en"), ("acilen ve hemen tıklayın", "tr"), ("urgent acil", "other"), ("urgent", "tr"), ("Üyeliğiniz İPTAL EDİLECEK, ACıL", "tr")], "t string, l string")
     got = [r.o for r in df.select(T.urgency_hits(F.col("t"), F.col("l")).alias("o")).collect()]
     assert [h.keyword for h in got[0]] == ["act now", "expire"]
     at = text.index("ACT")
     assert got[0][0].context == text[at - 40 : at + 7 + 40].replace("\n", " ").strip()
     assert [h.keyword for h in got[1]] == ["acil", "hemen", "hemen tıklayın"]
     assert [h.keyword for h in got[2]] == ["acil", "urgent"] and got[3] == []
+    assert [h.keyword for h in got[4]] == ["acil", "iptal edilecek"]
 
 
 def test_url_facts_keep_first_and_order(spark):
