@@ -35,6 +35,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all staged tables; results that were not written yet can't be read after it."""
+    jvm, path = spark._jvm, f"{stage_dir(spark)}/quillsift"
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def arrow_batches(spark: SparkSession, records: int = 512) -> None:
     """Bound what one Arrow batch holds, so that long texts do not gather in a Python worker."""
     ship(spark)
