@@ -50,8 +50,10 @@ def arrow_batches(spark: SparkSession, records: int = 512) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The documents table; one of fewer files than cores (a small one) is dealt out, as its work is per character."""
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def packed(docs: DataFrame, *names: str) -> DataFrame:
