@@ -33,7 +33,9 @@ from quillsift.llm.bytehash import LOWER, SPACE, U64, Hashes, flat, mix, slices
 from quillsift.llm.common import arrow_batches, packed, row_key, stage
 from quillsift.llm.components import components
 
+#: The query's contract, and what the pipeline's stage takes.
 N, LEAST = 4, 85
+STAGE_N, STAGE_LEAST = 5, 80
 #: Shingles whose hash lies below this share of the hash space can be told common or rare.
 KNOWN = U64(1 << 62)
 HOT_LIST, HOT_COUNT = 50_000, 32
@@ -406,9 +408,9 @@ def join(docs: DataFrame, n: int = N, least: int = LEAST, block: int = BLOCK) ->
     return out.select("doc_id", "k", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, n: int = STAGE_N, least: int = STAGE_LEAST) -> DataFrame:
     """docs with one row of each component: the row of its smallest doc_id. Rows with an empty set all stay."""
-    found = join(docs.select("doc_id", "text"))
+    found = join(docs.select("doc_id", "text"), n, least)
     stay = found.filter((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = stage(stay.groupBy("k").agg(F.max("n_shingles").alias("_n"), F.first("doc_id").alias("_d")), "jaccard-stay")
     keyed = packed(docs, "doc_id", "text").withColumn("_k", row_key("doc_id", "text"))
@@ -421,7 +423,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def query(docs: DataFrame) -> DataFrame:
     """The contract's columns for every document."""
-    return join(docs.select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+    return join(docs.select("doc_id", "text"), N, LEAST).select("doc_id", "n_shingles", "component_id")
 
 
 ORACLE = """

@@ -92,3 +92,31 @@ def test_keep_one_empty_and_clashing(spark):
     assert J.query(empty(spark)).count() == 0 and J.keep_one(empty(spark)).count() == 0
     twice = frame(spark, [(1, prose(50, 1), "a")] * 3)
     assert J.keep_one(twice).count() == 1 and J.query(twice).count() == 3
+
+
+def stage_ids(rows):
+    """doc_ids that stay by five words and 0.8, from plain sets."""
+    sets = []
+    for _, t, _ in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    label = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                label = [label[j] if x == label[i] else x for x in label]
+    least = {}
+    for i, (d, _, _) in enumerate(rows):
+        least[label[i]] = min(least.get(label[i], d), d)
+    return sorted(d for i, (d, _, _) in enumerate(rows) if not sets[i] or least[label[i]] == d)
+
+
+def test_stage_takes_five_words_and_four_fifths(spark):
+    base = prose(100, 60).split()
+    between = [*base[:50], "other", *base[51:]]
+    between[80:82] = ["two", "more"]
+    texts = [" ".join(base), " ".join(between), *variants(60, 61, edits=6), *variants(40, 62, length=60, edits=4)]
+    rows = [*corpus(), *((200 + i, t, "a") for i, t in enumerate(texts))]
+    want = stage_ids(rows)
+    assert want != sorted(d for d, n, c in brute(rows) if n == 0 or d == c)
+    assert sorted(r.doc_id for r in J.keep_one(frame(spark, rows)).collect()) == want
