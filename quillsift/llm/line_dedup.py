@@ -14,6 +14,14 @@ by all that lies outside the region, and then by the region without one characte
 one edit of its first line (or of the one shorter line), so that each group gives one pair per member.
 Verification. Each pair is compared outside its region, and inside by a banded bit-parallel edit distance.
 
+Thresholds by length. The query's contract is one edit. With `per` (the pipeline's stage) lines also go by edits(n) = n // per
+edits, n being the shorter line's length: k edits leave a stretch of at least k * (per - 1) / (k + 1) characters whole, at any
+place in either line. So both lines share the least hash of a window inside it, wherever an edit has shifted it, and each line
+is keyed by the least hashes of all its windows. Window lengths hold for a class of lengths (CLASSES); a line that may
+be the longer one of a pair in the class below is keyed for both.
+Common keys. Each group's first line is held against the others, which settles the lines near it. What is left are guests:
+they visit all lines of their key and about their length, which are dealt into blocks of BLOCK. No pair is left out.
+
 Defined results: null texts have no lines and stay null; identical rows are told apart, the second loses its lines; an
 empty table gives an empty result; extra columns are kept by dedup_documents.
 """
@@ -23,9 +31,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import packed, row_key, stage
+from quillsift.llm.common import let, packed, row_key, stage
 
 EDITS = 1
+#: The pipeline's stage allows one edit in so many characters.
+PER = 40
+#: Least edits of each class of lengths with thresholds above EDITS.
+CLASSES = (2, 4, 10)
+BLOCK = 256
 MIN_CHARS = 20
 REGION = 24
 _BLANK = " \t\n\x0b\x0c\r"
@@ -152,7 +165,85 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return near.select(F.when(F.col("f1") < F.col("f2"), F.col("y")).otherwise(F.col("x")).alias("h")).distinct()
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def _least_ahead(hashes: Column, ahead: int) -> Column:
+    """Each hash, or the one so many places further on if that is less."""
+    # beyond the end there is null, which least() passes over
+    return let(hashes, lambda x: F.zip_with(x, F.slice(x, F.lit(ahead + 1), F.size(x)), lambda p, q: F.least(p, q)))
+
+
+def window_keys(line: Column, n: Column, per: int) -> Column:
+    """The least hashes of all windows of a line, for each class that a pair with it may belong to."""
+    none = F.array().cast("array<bigint>")
+    every = []
+    for c, low in enumerate(CLASSES):
+        whole = -(-low * (per - 1) // (low + 1))
+        size = F.lit(whole // 2)
+        width = whole - whole // 2 + 1
+        least = _hashes(line, n, size, c)
+        span = 1
+        while span < width:
+            ahead = min(span, width - span)
+            least = _least_ahead(least, ahead)
+            span += ahead
+        some = n >= low * per
+        if c + 1 < len(CLASSES):
+            some = some & (n - F.floor(n / per) < CLASSES[c + 1] * per)
+        every.append(F.when(some, F.array_distinct(F.slice(least, F.lit(1), n - whole + 1))).otherwise(none))
+    return F.concat(*every)
+
+
+def _hashes(line: Column, n: Column, size: Column, seed: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.xxhash64(F.lit(seed), F.substr(line, i, size)))
+
+
+def _texts(docs: DataFrame, firsts: DataFrame, left: DataFrame, name: str) -> DataFrame:
+    """(h, first, line, n) of the lines h that are left."""
+    places = firsts.join(left, "h").groupBy("first.k").agg(F.collect_list(F.struct("h", "first")).alias("wanted"))
+    texts = docs.select("k", "text").join(places, "k")
+    texts = _once(texts.withColumn("_s", F.split("text", "\n")), "s", F.col("_s")).select("s", F.explode("wanted").alias("w"))
+    line = F.element_at("s", F.col("w.first.i") + 1)
+    lines = texts.select(F.col("w.h").alias("h"), F.col("w.first").alias("first"), line.alias("line")).withColumn("n", F.length("line"))
+    return stage(lines.dropDuplicates(["h"]), name)  # identical rows give a line twice
+
+
+def _later(pairs: DataFrame, lines: DataFrame, per: int) -> DataFrame:
+    """Lines y of the pairs (x, y), x standing first, that are within the edits of the shorter one's length."""
+    side = lambda p: lines.select(F.col("h").alias(p), F.col("line").alias(f"l{p}"), F.col("n").alias(f"n{p}"))
+    both = pairs.repartition("x").join(side("x"), "x").join(side("y"), "y")
+    most = F.floor(F.least("nx", "ny") / per).cast("int")
+    both = both.withColumn("most", most).filter(F.abs(F.col("nx") - F.col("ny")) <= F.col("most"))
+    return both.filter(F.expr("levenshtein(lx, ly, most) >= 0")).select(F.col("y").alias("h")).distinct()
+
+
+def far_lines(docs: DataFrame, firsts: DataFrame, near: DataFrame, per: int) -> DataFrame:
+    """(h) of the lines that go by a threshold above EDITS; `near` are those that are known to go."""
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).withColumn("n", F.length("line"))
+    lines = lines.filter((F.col("n") >= CLASSES[0] * per) & has_word(F.col("line")))
+    keyed = lines.select(F.xxhash64("line").alias("h"), F.explode(window_keys(F.col("line"), F.col("n"), per)).alias("key"))
+    group = Window.partitionBy("key")
+    shared = keyed.withColumn("_a", F.min("h").over(group)).withColumn("_b", F.max("h").over(group)).filter("_a < _b").select("key", "h")
+    shared = stage(shared.distinct(), "lines-windows")
+    lines = _texts(docs, firsts, shared.select("h").distinct(), "lines-far-texts")
+    # lengths of a pair differ by one part in `per` at most, and so their bands by one
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 + 1 / per)) + 1e-9).cast("int")
+    held = stage(shared.join(lines.select("h", "first", "n", band.alias("band")), "h"), "lines-far")
+    lead = held.groupBy("key", "band").agg(F.min(F.struct("first", "h")).alias("lead"), F.count("*").alias("m"))
+    lead = stage(lead.select("key", "band", F.col("lead.h").alias("x"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "lines-far-leads")
+    settled = near.join(lines.select("h"), "h", "left_semi")
+    led = held.join(lead, ["key", "band"]).filter("h <> x").select("x", F.col("h").alias("y")).distinct()
+    led = led.join(settled.select(F.col("h").alias("y")), "y", "left_anti").select("x", "y")
+    settled = stage(settled.unionByName(_later(led, lines, per)).distinct(), "lines-far-led")
+    guests = held.join(settled, "h", "left_anti").withColumn("band", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])))
+    guests = guests.join(lead, ["key", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    guests = guests.select("key", "band", "block", F.col("h").alias("y"), F.col("first").alias("fy"), F.col("n").alias("ny"))
+    hosts = held.join(lead.select("key", "band", "blocks"), ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("h", F.lit(3)), F.col("blocks")).cast("int"))
+    hosts = hosts.select("key", "band", "block", F.col("h").alias("x"), F.col("first").alias("fx"), F.col("n").alias("nx"))
+    close = F.abs(F.col("nx") - F.col("ny")) <= F.floor(F.least("nx", "ny") / per)
+    pairs = guests.join(hosts, ["key", "band", "block"]).filter((F.col("fx") < F.col("fy")) & close).select("x", "y").distinct()
+    return stage(settled.unionByName(_later(stage(pairs, "lines-far-pairs"), lines, per)).distinct(), "lines-far-near")
+
+
+def removed_lines(docs: DataFrame, per: int | None = None) -> DataFrame:
     """(k, gone): for texts k (k, doc_id, text) the places of lines to remove; identical rows count as one here."""
     occ = stage(occurrences(docs), "lines-occurrences")
     firsts = occ.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "k", "i")).alias("first"), F.count("*").alias("c"))
@@ -160,22 +251,19 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     again = occ.select("h", "h2", "k", "doc_id", "i").join(firsts.filter("c > 1").select("h", "h2", "first"), ["h", "h2"]).filter(~F.struct("doc_id", "k", "i").eqNullSafe(F.col("first")))
     segments = occ.filter("keys IS NOT NULL").select("h", F.explode("keys").alias("key"))
     left = stage(_shared(segments, "segments").select("h").distinct(), "lines-left")
-    places = firsts.join(left, "h").groupBy("first.k").agg(F.collect_list(F.struct("h", "first")).alias("wanted"))
-    texts = docs.select("k", "text").join(places, "k")
-    texts = _once(texts.withColumn("_s", F.split("text", "\n")), "s", F.col("_s")).select("s", F.explode("wanted").alias("w"))
-    line = F.element_at("s", F.col("w.first.i") + 1)
-    lines = texts.select(F.col("w.h").alias("h"), F.col("w.first").alias("first"), line.alias("line")).withColumn("n", F.length("line"))
-    lines = stage(lines.dropDuplicates(["h"]), "lines-texts")  # identical rows give a line twice
+    lines = _texts(docs, firsts, left, "lines-texts")
     regions = _shared(_regions(lines), "regions").drop("grid")
     near = stage(_verified(_pairs(regions, lines), lines), "lines-near")
+    if per:
+        near = near.unionByName(far_lines(docs, firsts, near, per)).distinct()
     gone = again.select("k", "i").unionByName(occ.join(near, "h").select("k", "i"))
     return gone.groupBy("k").agg(F.collect_set("i").alias("gone"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, per: int | None = None) -> DataFrame:
     """docs (doc_id, text, ...) with _lines (lines with a word), _removed (how many of them go) and _kept (the text left)."""
     keyed = docs.withColumn("_k", row_key("doc_id", "text"))
-    gone = stage(removed_lines(keyed.select(F.col("_k").alias("k"), "doc_id", "text")), "lines-gone")
+    gone = stage(removed_lines(keyed.select(F.col("_k").alias("k"), "doc_id", "text"), per), "lines-gone")
     same = Window.partitionBy("_k").orderBy("doc_id")
     joined = keyed.join(gone.withColumnRenamed("k", "_g"), F.col("_k") == F.col("_g"), "left").withColumn("_copy", F.row_number().over(same))
     split = _once(joined.withColumn("_s", F.split("text", "\n")), "_lines_", F.col("_s"))
@@ -189,9 +277,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     return out.drop("_k", "_g", "gone", "_copy", "_s", "_lines_")
 
 
-def dedup_documents(docs: DataFrame) -> DataFrame:
+def dedup_documents(docs: DataFrame, per: int | None = PER) -> DataFrame:
     """docs with the kept text; documents of which no line with a word is left are dropped, those that had none stay."""
-    out = dedup(packed(docs, "doc_id", "text")).filter("_lines = 0 OR _removed < _lines")
+    out = dedup(packed(docs, "doc_id", "text"), per).filter("_lines = 0 OR _removed < _lines")
     row = F.col("_row").withField("text", F.col("_kept"))
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.length("_kept").cast(docs.schema["n_chars"].dataType))

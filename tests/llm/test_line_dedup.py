@@ -99,3 +99,32 @@ def test_identical_rows_empty_table_and_columns(spark):
     assert out.columns == docs.columns
     kept = out.collect()
     assert {4, 5, 6} <= {r.doc_id for r in kept} and all(r.text is None or r.n_chars == len(r.text) for r in kept)
+
+
+def far_variants(seed, per):
+    rng = random.Random(seed)
+    bases = ["".join(rng.choice("abcdefghijkl ") for _ in range(n)) for n in (2 * per, 3 * per + 7, 4 * per + 2, 4 * per + 3, 7 * per, 10 * per + 5)]
+    rows = []
+    for d in range(60):
+        x = list(rng.choice(bases))
+        for _ in range(rng.randrange(len(x) // per + 3)):
+            at, how = rng.randrange(len(x)), rng.randrange(3)
+            x[at : at + (how != 1)] = rng.choice(["X", "é", "😀", "b"]) if how < 2 else ""
+        rows.append((d, "".join(x) + "\n" + "shared start of many lines, long enough to key " + "".join(rng.choice("mnop") for _ in range(60)), "a"))
+    return rows
+
+
+def test_stage_takes_edits_by_length(spark):
+    per = 40
+    for seed in (1, 2):
+        rows = far_variants(seed, per)
+        seen, want = {}, {}
+        for d, t, _ in rows:
+            for i, x in enumerate(t.split("\n")):
+                near = [y for y in seen if abs(len(x) - len(y)) <= len(x) // per and distance(x, y) <= max(1, min(len(x), len(y)) // per)]
+                want[d] = want.get(d, 0) + bool(near)
+                seen[x] = (d, i)
+        got = {r.doc_id: r._removed for r in D.dedup(frame(spark, rows), per).collect()}
+        assert got == want
+        assert sum(want.values()) > sum(n for _, _, n, _ in brute(rows))
+        assert sum(r.n_removed for r in D.query(frame(spark, rows)).collect()) == sum(n for _, _, n, _ in brute(rows))
