@@ -393,8 +393,8 @@ def links(docs: DataFrame, sigs: DataFrame, n: int = N, least: int = LEAST, bloc
     return components(sweep(sets, True, least, block, "sets"))
 
 
-def join(docs: DataFrame, n: int = N, least: int = LEAST, block: int = BLOCK) -> DataFrame:
-    """(doc_id, k, n_shingles, component_id) of (doc_id, text): a row per row; k is the row's content key."""
+def labelled(docs: DataFrame, n: int = N, least: int = LEAST, block: int = BLOCK) -> DataFrame:
+    """join's columns, and label: the component itself, which doc_ids that occur more than once do not tell."""
     arrow_batches(docs.sparkSession)
     keyed = docs.select("doc_id", row_key("doc_id", "text").alias("k"), "text")
     sigs = stage(signatures(keyed, hot_shingles(keyed, n), n, least).withColumn("u", F.monotonically_increasing_id()), "jaccard-signatures")
@@ -403,21 +403,27 @@ def join(docs: DataFrame, n: int = N, least: int = LEAST, block: int = BLOCK) ->
     named = classes.join(comp.select(F.col("node").alias("s"), "component"), "s", "left")
     named = stage(named.filter("component IS NOT NULL OR _copies > 1").withColumn("component", F.coalesce("component", "s")), "jaccard-classes")
     least_id = named.groupBy("component").agg(F.min("_first").alias("component_id"))
-    by_class = stage(named.join(least_id, "component").select("s", "component_id"), "jaccard-names")
+    by_class = stage(named.join(least_id, "component").select("s", "component", "component_id"), "jaccard-names")
     out = sigs.drop("prefix", "bits").join(by_class, "s", "left")
-    return out.select("doc_id", "k", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "k", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component", "s").alias("label"))
+
+
+def join(docs: DataFrame, n: int = N, least: int = LEAST, block: int = BLOCK) -> DataFrame:
+    """(doc_id, k, n_shingles, component_id) of (doc_id, text): a row per row; k is the row's content key."""
+    return labelled(docs, n, least, block).drop("label")
 
 
 def keep_one(docs: DataFrame, n: int = STAGE_N, least: int = STAGE_LEAST) -> DataFrame:
     """docs with one row of each component: the row of its smallest doc_id. Rows with an empty set all stay."""
-    found = join(docs.select("doc_id", "text"), n, least)
-    stay = found.filter((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = stage(stay.groupBy("k").agg(F.max("n_shingles").alias("_n"), F.first("doc_id").alias("_d")), "jaccard-stay")
+    found = labelled(docs.select("doc_id", "text"), n, least)
+    first = found.filter("n_shingles > 0").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).alias("_f"))
+    stay = first.select(F.col("_f.k").alias("k"), F.lit(False).alias("_all"))
+    stay = stage(stay.unionByName(found.filter("n_shingles = 0").select("k", F.lit(True).alias("_all")).distinct()), "jaccard-stay")
     keyed = packed(docs, "doc_id", "text").withColumn("_k", row_key("doc_id", "text"))
     kept = keyed.join(stay, F.col("_k") == F.col("k"))
-    # several rows with one doc_id are several rows of a component: the first text stays
-    order = Window.partitionBy("doc_id").orderBy("_k")
-    kept = kept.withColumn("_i", F.row_number().over(order)).filter("_i = 1 OR _n = 0 OR doc_id IS NULL")
+    # identical rows share k
+    order = Window.partitionBy("_k").orderBy("doc_id")
+    kept = kept.withColumn("_i", F.row_number().over(order)).filter("_i = 1 OR _all")
     return kept.select("_row.*")
 
 

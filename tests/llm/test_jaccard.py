@@ -120,3 +120,10 @@ def test_stage_takes_five_words_and_four_fifths(spark):
     want = stage_ids(rows)
     assert want != sorted(d for d, n, c in brute(rows) if n == 0 or d == c)
     assert sorted(r.doc_id for r in J.keep_one(frame(spark, rows)).collect()) == want
+
+
+def test_keep_one_by_component_where_doc_ids_repeat(spark):
+    a, b, c = prose(50, 71), prose(50, 72), prose(50, 73)
+    rows = [(1, a, "a"), (1, b, "a"), (2, a + " tail", "a"), (3, b, "a"), (None, c, "a"), (None, c, "a"), (None, "", "a"), (None, "", "a")]
+    got = sorted((r.doc_id or 0, r.text) for r in J.keep_one(frame(spark, rows)).collect())
+    assert got == sorted([(1, a), (1, b), (0, c), (0, ""), (0, "")])
