@@ -9,7 +9,7 @@ final scores are then resolved for those. Blocks' best are merged by rank. All q
 the bounds of one depth are a few matrix products.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; shorter vectors are filled
-with zeros; rows that repeat a vec_id and a vector count once; a vec_id asked with several vectors keeps its best scores of all; an empty table gives no rows. Integers are exact up to 64 bits.
+with zeros; rows that repeat a vec_id count once, with the best of their vectors; a vec_id asked with several vectors keeps its best scores of all; an empty table gives no rows. Integers are exact up to 64 bits.
 """
 
 from __future__ import annotations
@@ -168,7 +168,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    best = pairs.mapInArrow(run, "query_id long, vec_id long, score long").distinct()
+    best = pairs.mapInArrow(run, "query_id long, vec_id long, score long").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -73,3 +73,9 @@ def test_reading_stops_early():
         s = data @ q[j]
         want = sorted(zip((-s).tolist(), range(2000), strict=True))[:5]
         assert [(-a, i) for a, i in want] == got[j]
+
+
+def test_repeated_ids_in_different_blocks_count_once(spark, monkeypatch):
+    monkeypatch.setattr(T, "BLOCK", 8)
+    rng = random.Random(5)
+    check(spark, [(i % 60, [rng.gauss(0, 0.4) for _ in range(6)]) for i in range(240)])
