@@ -320,15 +320,15 @@ def url_strip_query(spark: SparkSession, d: str) -> DataFrame:
 _LAST2 = f"array_to_string(string_split({_HOST}, '.')[-2:], '.')"
 
 
-@query("registrable_domains", f"SELECT page_id, {_HOST} AS host, {_LAST2} AS root FROM pages")
+@query("registrable_domains", f"SELECT page_id, host, root FROM {sql(X.ROOTS)} AS r")
 def registrable_domains(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "pages").select("page_id", U.domain_of_url(F.col("url")).alias("host"))
+    pages = spark_view(spark, d, X.DOMAINS).select("page_id", F.lower("host").alias("host"))
     return U.registrable_domains(pages, "host").select("page_id", "host", F.col("host_root").alias("root"))
 
 
-@query("same_organization", f"SELECT page_id, {_HOST} = 'example.com' OR {_LAST2} = 'example.com' AS same FROM pages")
+@query("same_organization", f"SELECT page_id, same FROM {sql(X.ROOTS)} AS r")
 def same_organization(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "pages").select("page_id", U.domain_of_url(F.col("url")).alias("a"), F.lit("example.com").alias("b"))
+    pages = spark_view(spark, d, X.DOMAINS).select("page_id", F.lower("host").alias("a"), F.col("other").alias("b"))
     r = U.registrable_domains(pages, "a", "b")
     return r.select("page_id", U.same_organization(F.col("a"), F.col("b"), F.col("a_root"), F.col("b_root")).alias("same"))
 
@@ -810,9 +810,11 @@ def parse_errors(spark: SparkSession, d: str) -> DataFrame:
     return mime_explode(messages(spark, d)).agg(F.count("error").alias("errors"))
 
 
-@query("external_urls", f"SELECT page_id, {_LAST2} <> 'example.com' AS has_external_url FROM pages")
+@query("external_urls", f"SELECT page_id, host IS NOT NULL AND NOT same AS has_external_url FROM {sql(X.ROOTS)} AS r")
 def external_urls(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "pages").select("page_id", F.lit("news.example.com").alias("from_domain"), F.array(U.url_fact(F.col("url"), F.lit(None).cast("string"))).alias("urls"))
+    p = spark_view(spark, d, X.DOMAINS)
+    link = F.concat(F.lit("https://"), F.col("host"), F.lit("/a?b=c"))
+    p = p.select("page_id", F.col("other").alias("from_domain"), F.array(U.url_fact(link, F.lit(None).cast("string"))).alias("urls"))
     return policy.external_by_root(p, "page_id").select("page_id", "has_external_url")
 
 

@@ -48,6 +48,18 @@ FILES = """SELECT p_partkey AS id, concat('file', p_partkey, CASE p_partkey % 9
   CASE p_partkey % 7 WHEN 0 THEN '255044462D312E34' WHEN 1 THEN '504B0304' WHEN 2 THEN '4D5A9000' WHEN 3 THEN 'D0CF11E0A1B11AE1' WHEN 4 THEN '' WHEN 5 THEN '526172211A0700' ELSE '68656C6C6F' END AS head
 FROM {part}"""
 
+DOMAINS = """SELECT page_id, CASE page_id % 12 WHEN 0 THEN concat('Mail.shop', page_id % 50, '.co.uk') WHEN 1 THEN concat('www.office', page_id % 50, '.gov.tr')
+    WHEN 2 THEN 'gov.tr' WHEN 3 THEN 'co.uk' WHEN 4 THEN concat('host', page_id % 5, '.totallyfaketld') WHEN 5 THEN 'a.b.c.kobe.jp' WHEN 6 THEN 'x.city.kobe.jp'
+    WHEN 7 THEN 'www.ck' WHEN 8 THEN '10.0.0.1' WHEN 9 THEN NULL ELSE 'news.example.com' END AS host,
+  CASE page_id % 12 WHEN 0 THEN concat('shop', page_id % 25, '.co.uk') WHEN 1 THEN 'office7.gov.tr' WHEN 2 THEN 'www.turkiye.gov.tr' WHEN 3 THEN 'com'
+    WHEN 4 THEN 'host1.totallyfaketld' WHEN 5 THEN 'z.b.c.kobe.jp' WHEN 6 THEN 'y.kobe.jp' WHEN 8 THEN '10.0.0.1' ELSE 'example.com' END AS other FROM {pages}"""
+
+#: What the suffix list makes of DOMAINS' hosts: a suffix of two labels, bare suffixes, an unknown one, a wildcard and exceptions.
+ROOTS = """SELECT page_id, lower(host) AS host, other, CASE page_id % 12 WHEN 0 THEN concat('shop', page_id % 50, '.co.uk') WHEN 1 THEN concat('office', page_id % 50, '.gov.tr')
+    WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN host WHEN 5 THEN 'b.c.kobe.jp' WHEN 6 THEN 'city.kobe.jp' WHEN 7 THEN 'www.ck' WHEN 8 THEN host WHEN 9 THEN NULL ELSE 'example.com' END AS root,
+  CASE page_id % 12 WHEN 0 THEN page_id % 50 = page_id % 25 WHEN 1 THEN page_id % 50 = 7 WHEN 3 THEN TRUE WHEN 4 THEN page_id % 5 = 1 WHEN 5 THEN TRUE
+    WHEN 8 THEN TRUE WHEN 10 THEN TRUE WHEN 11 THEN TRUE ELSE FALSE END AS same FROM """ + "(" + DOMAINS + ") AS d"
+
 RUNS = """SELECT event_id AS seq, user_id, event_type = 'purchase' OR event_id % 5 = 0 AS hard_failure, value AS elapsed_seconds FROM {events}"""
 
 SHADOW = """SELECT vec_id, CASE vec_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'tr' WHEN 2 THEN 'de' ELSE 'xx' END AS language,
@@ -73,12 +85,8 @@ def sql(template: str) -> str:
 
 
 def spark_view(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
-    """A template over the tables of sf_dir; texts in fewer files than cores are dealt out first, as their work is per character."""
-    read = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables(template)}
-    cores = spark.sparkContext.defaultParallelism
-    if "documents" in read and len(read["documents"].inputFiles()) < cores:
-        read["documents"] = read["documents"].repartition(cores)
-    return spark.sql(template, **read)
+    """A template over the tables of sf_dir."""
+    return spark.sql(template, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables(template)})
 
 
 def flat(df: DataFrame) -> DataFrame:
