@@ -1,29 +1,22 @@
 """Line dedup: a segment-partition edit join over the lines of all documents, in DataFrame functions only.
 
 A line with a word is removed if the same line stands earlier (by doc_id, then row content, then place), or if a line
-within EDITS = 1 edit first stands earlier than it does; for the latter both lines have MIN_CHARS characters or more. Lines
-without a word stay. A document keeps its other lines in order.
-
-Segments. Of two lines within one edit, one of EDITS + 1 = 2 segments of the shorter line is whole in the other, at the
-start or at the end. So each line of length n is indexed by its segments on the grid of length n, and probes the grid of
-length n - 1 with the substrings that a line one character shorter would have there. Lines whose segments no other line
-has are done.
-Finer segments. Where segments are common (a line with thousands of variants), pairs of all lines with equal segments would
-grow with the square of their number. Instead the lines that are left are cut again: into regions of REGION characters, keyed
-by all that lies outside the region, and then by the region without one character. Lines that share such a key are within
-one edit of its first line (or of the one shorter line), so that each group gives one pair per member.
-Verification. Each pair is compared outside its region, and inside by a banded bit-parallel edit distance.
-
-Thresholds by length. The query's contract is one edit. With `per` (the pipeline's stage) lines also go by edits(n) = n // per
-edits, n being the shorter line's length: k edits leave a stretch of at least k * (per - 1) / (k + 1) characters whole, at any
-place in either line. So both lines share the least hash of a window inside it, wherever an edit has shifted it, and each line
-is keyed by the least hashes of all its windows. Window lengths hold for a class of lengths (CLASSES); a line that may
-be the longer one of a pair in the class below is keyed for both.
-Common keys. Each group's first line is held against the others, which settles the lines near it. What is left are guests:
-they visit all lines of their key and about their length, which are dealt into blocks of BLOCK. No pair is left out.
+within edits(n) edits first stands earlier than it does, n being the shorter line's length; for the latter both lines have
+MIN_CHARS characters or more. Lines without a word stay. A document keeps its other lines in order.
+
+Threshold. edits(n) is one edit in PER characters, 1 at least and MOST at most; `per` and `most` are parameters.
+Segments. A line of length l is cut into edits(l) + 1 segments of about equal length. Of two lines within as many edits, one
+segment of the shorter line is whole in the other, shifted by no more than the edits on its left (and what the lengths leave
+to those on its right). So a line is indexed by its segments, and probes the grid of each length that a line it is near to may
+have with its substrings at these shifts: a fixed number of keys for each threshold (4, 12, 26 for 1, 2, 3 edits).
+Candidates. Lines are first made distinct. A key that two lines share gives one pair. In a larger group the first line is held
+against the others, which settles those near it; what is left are guests, which visit all earlier lines of their group in
+blocks of BLOCK. A group's lines differ in length by MOST at most, as the key holds the grid's length. No pair is left out.
+Verification. What a pair's lines share at either end is cut off; a banded bit-parallel edit distance decides over the rest.
 
 Defined results: null texts have no lines and stay null; identical rows are told apart, the second loses its lines; an
-empty table gives an empty result; extra columns are kept by dedup_documents.
+empty table gives an empty result; extra columns, also such with clashing names, are kept by dedup_documents and ignored by
+the query; rows with a null doc_id count as the first ones; a line of any length costs its length times a constant.
 """
 
 from __future__ import annotations
@@ -33,51 +26,57 @@ from pyspark.sql import functions as F
 
 from quillsift.llm.common import let, packed, row_key, stage
 
-EDITS = 1
-#: The pipeline's stage allows one edit in so many characters.
-PER = 40
-#: Least edits of each class of lengths with thresholds above EDITS.
-CLASSES = (2, 4, 10)
-BLOCK = 256
+PER, MOST = 40, 3
 MIN_CHARS = 20
-REGION = 24
+BLOCK = 256
 _BLANK = " \t\n\x0b\x0c\r"
 
 
+def edits(n: Column, per: int = PER, most: int = MOST) -> Column:
+    """Edits that two lines may differ by, the shorter one having n characters."""
+    return F.least(F.greatest(F.floor(n / per), F.lit(1)), F.lit(most)).cast("int")
+
+
 def has_word(line: Column) -> Column:
     """Whether a line has a character that is not a separator."""
     return F.translate(line, _BLANK, "") != ""
 
 
-def segment_keys(line: Column, n: Column) -> Column:
-    """Four hashes: both segments on the grid of the line's own length, then on that of a line one shorter."""
-    keys = []
-    for grid in (n, n - 1):
-        half = (grid / 2).cast("int")
-        keys.append(F.xxhash64(grid, F.lit(0), F.right(line, grid - half)))
-        keys.append(F.xxhash64(grid, F.lit(1), F.left(line, half)))
-    return F.array(*keys)
-
-
-def banded_distance(a: Column, b: Column, most: int = EDITS) -> Column:
-    """Edit distance of a and b where it is `most` or less, else more than `most`; a is not shorter than b.
+def segment_keys(line: Column, n: Column, per: int = PER, most: int = MOST) -> Column:
+    """Hashes of a line's segments and probes; lines within their edits share one at least."""
+    none = F.array().cast("array<bigint>")
+    every = []
+    for k in range(1, most + 1):
+        for longer in range(k + 1):
+            grid = n - longer
+            cut = lambda i, grid=grid, k=k: F.floor(F.lit(i) * grid / (k + 1)).cast("int")
+            keys = [
+                F.xxhash64(grid, F.lit(i), F.substr(line, cut(i) + shift + 1, cut(i + 1) - cut(i)))
+                for i in range(k + 1)
+                for shift in range(max(-i, longer - (k - i)), min(i, longer + (k - i)) + 1)
+            ]
+            every.append(F.when((grid >= MIN_CHARS) & (edits(grid, per, most) == k), F.array(*keys)).otherwise(none))
+    return F.array_distinct(F.concat(*every))
+
+
+def banded_distance(a: Column, b: Column, most: int = MOST) -> Column:
+    """Edit distance of the character arrays a and b where it is `most` or less, else more than `most`; a is not shorter.
 
     The 2 * most + 1 cells around the diagonal are bits of one word. Each character of b moves the word one cell down:
     `vp` and `vn` mark cells above which the distance rises or falls, and the lowest diagonal gives the distance.
     """
     width = 2 * most + 1
     full = (1 << width) - 1
-    la, lb = F.length(a), F.length(b)
-    inverse = lambda x: F.bitwise_not(x).bitwiseAND(F.lit(full).cast("long"))
+    la, lb = F.size(a), F.size(b)
     word = lambda x: x.bitwiseAND(F.lit(full).cast("long"))
-    bit = lambda x, at: F.shiftright(x, at).bitwiseAND(F.lit(1).cast("long"))
+    inverse = lambda x: word(F.bitwise_not(x))
+    bit = lambda x, at: F.call_function("shiftright", x, at if isinstance(at, Column) else F.lit(at)).bitwiseAND(F.lit(1).cast("long"))
 
     def step(state: Column, i: Column) -> Column:
         vp, vn, d = state["vp"], state["vn"], state["d"]
-        match = F.lit(0).cast("long")
-        for t in range(width):
-            same = (i + (t - most) >= 0) & (i + (t - most) < la) & (F.substr(a, i + (t - most + 1), F.lit(1)) == F.substr(b, i + 1, F.lit(1)))
-            match = match + F.when(same, F.lit(1 << t)).otherwise(F.lit(0)).cast("long")
+        own = F.get(b, i)
+        # beyond either end there is null, which matches nothing
+        match = sum((F.when(F.get(a, i + (t - most)) == own, F.lit(1 << t)).otherwise(F.lit(0)) for t in range(width)), F.lit(0)).cast("long")
 
         def moved(x: Column) -> Column:
             d0 = word((x.bitwiseAND(vp) + vp).bitwiseXOR(vp)).bitwiseOR(x).bitwiseOR(vn)
@@ -85,185 +84,106 @@ def banded_distance(a: Column, b: Column, most: int = EDITS) -> Column:
             def rest(d0: Column) -> Column:
                 hp, hn = vn.bitwiseOR(inverse(d0.bitwiseOR(vp))), d0.bitwiseAND(vp)
                 down = F.shiftright(d0, 1)
-                flat = i - (la - most)
                 # below the diagonal's end the distance follows the last row
-                last = lambda h: F.element_at(F.array(*[bit(h, t) for t in range(width)]), F.greatest(F.lit(width - 1) - flat, F.lit(1)))
-                grown = F.when(i < la - most, 1 - bit(d0, width - 1)).otherwise(last(hp) - last(hn))
+                at = F.greatest(F.lit(width - 2) - (i - (la - most)), F.lit(0))
+                grown = F.when(i < la - most, 1 - bit(d0, width - 1)).otherwise(bit(hp, at) - bit(hn, at))
                 return F.struct(hn.bitwiseOR(inverse(down.bitwiseOR(hp))).alias("vp"), down.bitwiseAND(hp).alias("vn"), (d + grown).alias("d"))
 
-            return _let(d0, rest)
+            return let(d0, rest)
 
-        return _let(match, moved)
+        return let(match, moved)
 
-    start = F.struct(F.lit((full >> most << most) & full).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(most).cast("long").alias("d"))
+    start = F.struct(F.lit((full >> most << most) & full).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.least(la, F.lit(most)).cast("long").alias("d"))
     run = F.aggregate(F.sequence(F.lit(0), lb - 1), start, step, lambda s: s["d"])
     return F.when(la - lb > most, F.lit(most + 1).cast("long")).when(lb == 0, la.cast("long")).otherwise(run)
 
 
-def _let(value: Column, body) -> Column:
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """df with a column that later expressions read instead of copying its definition."""
     return df.withColumn(name, F.explode(F.array(value)))
 
 
+def near_enough(pairs: DataFrame, per: int = PER, most: int = MOST) -> DataFrame:
+    """The rows of pairs (la, lb, ...: two lines, la not shorter) whose lines are within their edits."""
+    own = _once(pairs, "_cut", F.struct(F.split("la", "").alias("a"), F.split("lb", "").alias("b")))
+    a, b = F.col("_cut.a"), F.col("_cut.b")
+
+    def shared(x: Column, y: Column) -> Column:
+        """How many characters x and y share from their starts; x is not shorter."""
+        differs = F.array_position(F.zip_with(x, y, lambda p, q: ~p.eqNullSafe(q)), True)
+        return F.when(differs > 0, differs - 1).otherwise(F.size(x).cast("long")).cast("int")
+
+    own = _once(own, "_p", shared(a, b))
+    own = _once(own, "_s", F.least(shared(F.reverse(a), F.reverse(b)), F.size(b) - F.col("_p")))
+    middle = lambda x: F.slice(x, F.col("_p") + 1, F.size(x) - F.col("_p") - F.col("_s"))
+    own = _once(own, "_rest", F.struct(middle(a).alias("a"), middle(b).alias("b")))
+    near = banded_distance(F.col("_rest.a"), F.col("_rest.b"), most) <= edits(F.length("lb"), per, most)
+    return own.filter(near).drop("_cut", "_p", "_s", "_rest")
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(k, doc_id, i, h, h2, n, keys): every line with a word of (k, doc_id, text); keys are null for short lines."""
+    """(k, doc_id, i, h, h2, n): every line with a word of (k, doc_id, text), by place, two hashes and length."""
     lines = docs.select("k", "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).filter(has_word(F.col("line")))
-    n = F.length("line")
-    keys = F.when(n >= MIN_CHARS, segment_keys(F.col("line"), n))
-    return lines.select("k", "doc_id", "i", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(9), F.col("line")).alias("h2"), n.alias("n"), keys.alias("keys"))
-
-
-def _shared(keyed: DataFrame, name: str) -> DataFrame:
-    """Rows of keyed (h, key, ...) whose key another line has too."""
-    hits = keyed.groupBy("key").agg(F.min("h").alias("_a"), F.max("h").alias("_b")).filter("_a < _b").select("key")
-    return stage(keyed.join(stage(hits, f"lines-{name}-keys"), "key"), f"lines-{name}")
-
-
-def _regions(lines: DataFrame) -> DataFrame:
-    """(h, longer, a, b, key) of (h, line, n): regions of both grids; a and b are how many characters lie outside them."""
-    grid = F.col("n") - F.col("longer")
-    some = lines.withColumn("longer", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("grid", grid)
-    some = some.withColumn("r", F.explode(F.sequence(F.lit(0), F.floor((F.col("grid") - 1) / REGION).cast("int"))))
-    a = F.col("r") * REGION
-    b = F.greatest(F.col("grid") - a - REGION, F.lit(0))
-    return some.select("h", "longer", a.alias("a"), b.alias("b"), F.xxhash64("grid", "r", F.left("line", a), F.right("line", b)).alias("key"))
-
-
-def _pairs(regions: DataFrame, lines: DataFrame) -> DataFrame:
-    """Candidate pairs (x, y, a, b) of lines: for each group the first line (or the shorter one) with each other."""
-    held = regions.join(lines.select("h", "line", "n", "first"), "h")
-    text = F.substr("line", F.col("a") + 1, F.col("n") - F.col("a") - F.col("b"))
-    held = _once(held.withColumn("_text", text), "part", F.col("_text"))
-    without = lambda p: F.concat(F.left("part", p), F.substr("part", p + 2))
-    places = F.sequence(F.lit(0), F.length("part") - 1)
-    swap = F.transform(places, lambda p: F.xxhash64("key", p + 1, without(p)))
-    cut = F.array_distinct(F.transform(places, lambda p: F.xxhash64("key", F.lit(0), without(p))))
-    whole = F.xxhash64("key", F.lit(0), F.col("part"))
-    # rank 0 leads: the whole region of the shorter line, or any line of a group with one character swapped
-    short = held.filter("longer = 0").select("h", "first", "a", "b", F.explode(F.concat(F.array(whole), swap)).alias("g")).withColumn("rank", F.lit(0))
-    long = held.filter("longer = 1").select("h", "first", "a", "b", F.explode(cut).alias("g")).withColumn("rank", F.lit(1))
-    rows = stage(short.unionByName(long), "lines-cuts")
-    lead = rows.groupBy("g").agg(F.min(F.struct("rank", "first", "h")).alias("lead"), F.count("*").alias("_c")).filter("_c > 1 AND lead.rank = 0")
-    lead = stage(lead.select("g", F.col("lead.h").alias("x")), "lines-leads")
-    return rows.join(lead, "g").filter("h <> x").select("x", F.col("h").alias("y"), "a", "b").distinct()
-
-
-def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The line of each true pair that first stands later."""
-    side = lambda p, q: lines.select(F.col("h").alias(p), F.col("line").alias(f"l{q}"), F.col("first").alias(f"f{q}"), F.col("n").alias(f"n{q}"))
-    both = pairs.join(side("x", 1), "x").join(side("y", 2), "y")
-    both = both.filter((F.left("l1", F.col("a")) == F.left("l2", F.col("a"))) & (F.right("l1", F.col("b")) == F.right("l2", F.col("b"))))
-    inner = lambda q: F.substr(f"l{q}", F.col("a") + 1, F.col(f"n{q}") - F.col("a") - F.col("b"))
-    big = F.col("n1") >= F.col("n2")
-    both = both.withColumn("_p", F.when(big, inner(1)).otherwise(inner(2))).withColumn("_q", F.when(big, inner(2)).otherwise(inner(1)))
-    both = _once(_once(both, "p", F.col("_p")), "q", F.col("_q"))
-    near = both.filter(banded_distance(F.col("p"), F.col("q")) <= EDITS)
-    return near.select(F.when(F.col("f1") < F.col("f2"), F.col("y")).otherwise(F.col("x")).alias("h")).distinct()
-
-
-def _least_ahead(hashes: Column, ahead: int) -> Column:
-    """Each hash, or the one so many places further on if that is less."""
-    # beyond the end there is null, which least() passes over
-    return let(hashes, lambda x: F.zip_with(x, F.slice(x, F.lit(ahead + 1), F.size(x)), lambda p, q: F.least(p, q)))
-
-
-def window_keys(line: Column, n: Column, per: int) -> Column:
-    """The least hashes of all windows of a line, for each class that a pair with it may belong to."""
-    none = F.array().cast("array<bigint>")
-    every = []
-    for c, low in enumerate(CLASSES):
-        whole = -(-low * (per - 1) // (low + 1))
-        size = F.lit(whole // 2)
-        width = whole - whole // 2 + 1
-        least = _hashes(line, n, size, c)
-        span = 1
-        while span < width:
-            ahead = min(span, width - span)
-            least = _least_ahead(least, ahead)
-            span += ahead
-        some = n >= low * per
-        if c + 1 < len(CLASSES):
-            some = some & (n - F.floor(n / per) < CLASSES[c + 1] * per)
-        every.append(F.when(some, F.array_distinct(F.slice(least, F.lit(1), n - whole + 1))).otherwise(none))
-    return F.concat(*every)
-
-
-def _hashes(line: Column, n: Column, size: Column, seed: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.xxhash64(F.lit(seed), F.substr(line, i, size)))
-
-
-def _texts(docs: DataFrame, firsts: DataFrame, left: DataFrame, name: str) -> DataFrame:
-    """(h, first, line, n) of the lines h that are left."""
-    places = firsts.join(left, "h").groupBy("first.k").agg(F.collect_list(F.struct("h", "first")).alias("wanted"))
-    texts = docs.select("k", "text").join(places, "k")
-    texts = _once(texts.withColumn("_s", F.split("text", "\n")), "s", F.col("_s")).select("s", F.explode("wanted").alias("w"))
-    line = F.element_at("s", F.col("w.first.i") + 1)
-    lines = texts.select(F.col("w.h").alias("h"), F.col("w.first").alias("first"), line.alias("line")).withColumn("n", F.length("line"))
-    return stage(lines.dropDuplicates(["h"]), name)  # identical rows give a line twice
-
-
-def _later(pairs: DataFrame, lines: DataFrame, per: int) -> DataFrame:
-    """Lines y of the pairs (x, y), x standing first, that are within the edits of the shorter one's length."""
-    side = lambda p: lines.select(F.col("h").alias(p), F.col("line").alias(f"l{p}"), F.col("n").alias(f"n{p}"))
-    both = pairs.repartition("x").join(side("x"), "x").join(side("y"), "y")
-    most = F.floor(F.least("nx", "ny") / per).cast("int")
-    both = both.withColumn("most", most).filter(F.abs(F.col("nx") - F.col("ny")) <= F.col("most"))
-    return both.filter(F.expr("levenshtein(lx, ly, most) >= 0")).select(F.col("y").alias("h")).distinct()
-
-
-def far_lines(docs: DataFrame, firsts: DataFrame, near: DataFrame, per: int) -> DataFrame:
-    """(h) of the lines that go by a threshold above EDITS; `near` are those that are known to go."""
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).withColumn("n", F.length("line"))
-    lines = lines.filter((F.col("n") >= CLASSES[0] * per) & has_word(F.col("line")))
-    keyed = lines.select(F.xxhash64("line").alias("h"), F.explode(window_keys(F.col("line"), F.col("n"), per)).alias("key"))
-    group = Window.partitionBy("key")
-    shared = keyed.withColumn("_a", F.min("h").over(group)).withColumn("_b", F.max("h").over(group)).filter("_a < _b").select("key", "h")
-    shared = stage(shared.distinct(), "lines-windows")
-    lines = _texts(docs, firsts, shared.select("h").distinct(), "lines-far-texts")
-    # lengths of a pair differ by one part in `per` at most, and so their bands by one
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 + 1 / per)) + 1e-9).cast("int")
-    held = stage(shared.join(lines.select("h", "first", "n", band.alias("band")), "h"), "lines-far")
-    lead = held.groupBy("key", "band").agg(F.min(F.struct("first", "h")).alias("lead"), F.count("*").alias("m"))
-    lead = stage(lead.select("key", "band", F.col("lead.h").alias("x"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "lines-far-leads")
-    settled = near.join(lines.select("h"), "h", "left_semi")
-    led = held.join(lead, ["key", "band"]).filter("h <> x").select("x", F.col("h").alias("y")).distinct()
-    led = led.join(settled.select(F.col("h").alias("y")), "y", "left_anti").select("x", "y")
-    settled = stage(settled.unionByName(_later(led, lines, per)).distinct(), "lines-far-led")
-    guests = held.join(settled, "h", "left_anti").withColumn("band", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])))
-    guests = guests.join(lead, ["key", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    guests = guests.select("key", "band", "block", F.col("h").alias("y"), F.col("first").alias("fy"), F.col("n").alias("ny"))
-    hosts = held.join(lead.select("key", "band", "blocks"), ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("h", F.lit(3)), F.col("blocks")).cast("int"))
-    hosts = hosts.select("key", "band", "block", F.col("h").alias("x"), F.col("first").alias("fx"), F.col("n").alias("nx"))
-    close = F.abs(F.col("nx") - F.col("ny")) <= F.floor(F.least("nx", "ny") / per)
-    pairs = guests.join(hosts, ["key", "band", "block"]).filter((F.col("fx") < F.col("fy")) & close).select("x", "y").distinct()
-    return stage(settled.unionByName(_later(stage(pairs, "lines-far-pairs"), lines, per)).distinct(), "lines-far-near")
-
-
-def removed_lines(docs: DataFrame, per: int | None = None) -> DataFrame:
+    return lines.select("k", "doc_id", "i", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(9), F.col("line")).alias("h2"), F.length("line").alias("n"))
+
+
+def _distinct_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(h, first, n, line): the distinct lines that are long enough to be near to others."""
+    places = firsts.filter(F.col("n") >= MIN_CHARS).groupBy("first.k").agg(F.collect_list(F.struct("h", "n", "first")).alias("wanted"))
+    order = Window.partitionBy("k").orderBy("doc_id")
+    once = docs.select("k", "doc_id", "text").withColumn("_r", F.row_number().over(order)).filter("_r = 1")  # identical rows share k
+    texts = _once(once.select("k", "text").join(places, "k"), "s", F.split("text", "\n"))
+    texts = texts.select("s", F.explode("wanted").alias("w"))
+    return texts.select(F.col("w.h").alias("h"), F.col("w.first").alias("first"), F.col("w.n").alias("n"), F.get("s", F.col("w.first.i")).alias("line"))
+
+
+def _later(pairs: DataFrame, lines: DataFrame, per: int, most: int) -> DataFrame:
+    """(h): of each near pair (x, y) the line that first stands later."""
+    side = lambda p: lines.select(F.col("h").alias(p), F.col("line").alias(f"l{p}"), F.col("n").alias(f"n{p}"), F.col("first").alias(f"f{p}"))
+    both = pairs.repartition("x").join(side("x"), "x").join(side("y"), "y").filter(F.abs(F.col("nx") - F.col("ny")) <= edits(F.least("nx", "ny"), per, most))
+    longer = F.col("nx") >= F.col("ny")
+    later = F.when(F.col("fx") < F.col("fy"), F.col("y")).otherwise(F.col("x"))
+    both = both.select(later.alias("h"), F.when(longer, F.col("lx")).otherwise(F.col("ly")).alias("la"), F.when(longer, F.col("ly")).otherwise(F.col("lx")).alias("lb"))
+    return near_enough(both, per, most).select("h").distinct()
+
+
+def near_lines(lines: DataFrame, per: int = PER, most: int = MOST) -> DataFrame:
+    """(h) of the distinct lines (h, first, n, line) that have an earlier one within their edits."""
+    keyed = lines.select("h", F.explode(segment_keys(F.col("line"), F.col("n"), per, most)).alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y"), F.count("*").alias("c")).filter("x < y")
+    shared = stage(shared, "lines-keys")
+    narrow = lines.select("h", "first", "n")
+    held = stage(keyed.join(shared.filter("c > 2").select("key"), "key").join(narrow, "h"), "lines-groups")
+    lead = held.groupBy("key").agg(F.min(F.struct("first", "h")).alias("lead"), F.count("*").alias("m"))
+    lead = stage(lead.select("key", F.col("lead.h").alias("lead"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "lines-leads")
+    led = held.select("key", "h").join(lead.select("key", "lead"), "key").filter("h <> lead").select(F.col("lead").alias("x"), F.col("h").alias("y"))
+    pairs = shared.filter("c = 2").select("x", "y").unionByName(led).distinct()
+    settled = stage(_later(stage(pairs, "lines-pairs"), lines, per, most), "lines-settled")
+    # the others of a group are not near to its first line: they visit all that stand before them
+    guests = held.join(settled, "h", "left_anti").join(lead, "key").filter("h <> lead").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    guests = guests.select("key", "block", F.col("h").alias("y"), F.col("first").alias("fy"), F.col("n").alias("ny"))
+    hosts = held.join(lead, "key").filter("h <> lead").withColumn("block", F.pmod(F.xxhash64("h", F.lit(3)), F.col("blocks")).cast("int"))
+    hosts = hosts.select("key", "block", F.col("h").alias("x"), F.col("first").alias("fx"), F.col("n").alias("nx"))
+    close = (F.col("fx") < F.col("fy")) & (F.abs(F.col("nx") - F.col("ny")) <= edits(F.least("nx", "ny"), per, most))
+    more = guests.join(hosts, ["key", "block"]).filter(close).select("x", "y").distinct()
+    return settled.unionByName(_later(stage(more, "lines-more"), lines, per, most)).distinct()
+
+
+def removed_lines(docs: DataFrame, per: int = PER, most: int = MOST) -> DataFrame:
     """(k, gone): for texts k (k, doc_id, text) the places of lines to remove; identical rows count as one here."""
     occ = stage(occurrences(docs), "lines-occurrences")
-    firsts = occ.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "k", "i")).alias("first"), F.count("*").alias("c"))
+    firsts = occ.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "k", "i")).alias("first"), F.count("*").alias("c"), F.min("n").alias("n"))
     firsts = stage(firsts, "lines-first")
     again = occ.select("h", "h2", "k", "doc_id", "i").join(firsts.filter("c > 1").select("h", "h2", "first"), ["h", "h2"]).filter(~F.struct("doc_id", "k", "i").eqNullSafe(F.col("first")))
-    segments = occ.filter("keys IS NOT NULL").select("h", F.explode("keys").alias("key"))
-    left = stage(_shared(segments, "segments").select("h").distinct(), "lines-left")
-    lines = _texts(docs, firsts, left, "lines-texts")
-    regions = _shared(_regions(lines), "regions").drop("grid")
-    near = stage(_verified(_pairs(regions, lines), lines), "lines-near")
-    if per:
-        near = near.unionByName(far_lines(docs, firsts, near, per)).distinct()
+    near = stage(near_lines(stage(_distinct_lines(docs, firsts), "lines-texts"), per, most), "lines-near")
     gone = again.select("k", "i").unionByName(occ.join(near, "h").select("k", "i"))
     return gone.groupBy("k").agg(F.collect_set("i").alias("gone"))
 
 
-def dedup(docs: DataFrame, per: int | None = None) -> DataFrame:
+def dedup(docs: DataFrame, per: int = PER, most: int = MOST) -> DataFrame:
     """docs (doc_id, text, ...) with _lines (lines with a word), _removed (how many of them go) and _kept (the text left)."""
     keyed = docs.withColumn("_k", row_key("doc_id", "text"))
-    gone = stage(removed_lines(keyed.select(F.col("_k").alias("k"), "doc_id", "text"), per), "lines-gone")
+    gone = stage(removed_lines(keyed.select(F.col("_k").alias("k"), "doc_id", "text"), per, most), "lines-gone")
     same = Window.partitionBy("_k").orderBy("doc_id")
     joined = keyed.join(gone.withColumnRenamed("k", "_g"), F.col("_k") == F.col("_g"), "left").withColumn("_copy", F.row_number().over(same))
     split = _once(joined.withColumn("_s", F.split("text", "\n")), "_lines_", F.col("_s"))
@@ -277,9 +197,9 @@ def dedup(docs: DataFrame, per: int | None = None) -> DataFrame:
     return out.drop("_k", "_g", "gone", "_copy", "_s", "_lines_")
 
 
-def dedup_documents(docs: DataFrame, per: int | None = PER) -> DataFrame:
+def dedup_documents(docs: DataFrame, per: int = PER, most: int = MOST) -> DataFrame:
     """docs with the kept text; documents of which no line with a word is left are dropped, those that had none stay."""
-    out = dedup(packed(docs, "doc_id", "text"), per).filter("_lines = 0 OR _removed < _lines")
+    out = dedup(packed(docs, "doc_id", "text"), per, most).filter("_lines = 0 OR _removed < _lines")
     row = F.col("_row").withField("text", F.col("_kept"))
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.length("_kept").cast(docs.schema["n_chars"].dataType))
@@ -292,13 +212,18 @@ def query(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.md5(F.coalesce("_kept", F.lit("")).cast("binary")).alias("kept_md5"))
 
 
+#: DuckDB counts edits of bytes: the 26 letters beyond ASCII that it can tell apart, more than the tables have, become control characters.
 ORACLE = """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 w AS (SELECT *, regexp_matches(line, '[^\\x20\\x09-\\x0D]') AS word FROM l),
 f AS (SELECT line, min((doc_id, i)) AS first, length(line) AS n FROM w WHERE word GROUP BY line),
-e AS (SELECT DISTINCT b.line FROM f AS a JOIN f AS b ON b.n BETWEEN a.n - 1 AND a.n + 1 AND a.first < b.first
-  WHERE a.n >= 20 AND b.n >= 20 AND (a.line[1:a.n // 2 - 1] = b.line[1:a.n // 2 - 1] OR a.line[a.n - a.n // 2 + 2:] = b.line[b.n - a.n // 2 + 2:])
-  AND levenshtein(a.line, b.line) <= 1),
+p AS (SELECT a.line AS x, b.line AS y, b.first > a.first AS y_later, least(greatest(a.n // 40, 1), 3) AS k, a.n // 4 AS q
+  FROM f AS a JOIN f AS b ON b.n BETWEEN a.n AND a.n + 3 AND (a.n < b.n OR a.line < b.line)
+  WHERE a.n >= 20 AND (contains(b.line, a.line[1:a.n // 4]) OR contains(b.line, a.line[a.n // 4 + 1:a.n // 2]) OR contains(b.line, a.line[a.n // 2 + 1:a.n // 2 + a.n // 4]) OR contains(b.line, a.line[a.n // 2 + a.n // 4 + 1:]))),
+z AS (SELECT coalesce(string_agg(DISTINCT c, ''), '') AS wide FROM (SELECT unnest(regexp_extract_all(text, '[^\\x00-\\x7F]')) AS c FROM documents)),
+o AS (SELECT string_agg(chr(i::INTEGER), '') AS bytes FROM range(1, 32) AS r(i) WHERE i NOT BETWEEN 9 AND 13),
+e AS (SELECT DISTINCT CASE WHEN y_later THEN y ELSE x END AS line FROM p, z, o
+  WHERE abs(length(x) - length(y)) <= k AND levenshtein(translate(x, wide, bytes), translate(y, wide, bytes)) <= k),
 g AS (SELECT w.*, word AND (f.first <> (w.doc_id, w.i) OR e.line IS NOT NULL) AS gone FROM w LEFT JOIN f ON f.line = w.line AND word LEFT JOIN e ON e.line = w.line)
 SELECT d.doc_id, coalesce(count(*) FILTER (WHERE word), 0)::BIGINT AS n_lines, coalesce(count(*) FILTER (WHERE gone), 0)::BIGINT AS n_removed,
   md5(coalesce(string_agg(g.line, chr(10) ORDER BY g.i) FILTER (WHERE NOT coalesce(gone, false)), '')) AS kept_md5
