@@ -11,7 +11,8 @@ to those on its right). So a line is indexed by its segments, and probes the gri
 have with its substrings at these shifts: a fixed number of keys for each threshold (4, 12, 26 for 1, 2, 3 edits).
 Candidates. Lines are first made distinct. A key that two lines share gives one pair. In a larger group the first line is held
 against the others, which settles those near it; what is left are guests, which visit all earlier lines of their group in
-blocks of BLOCK. A group's lines differ in length by MOST at most, as the key holds the grid's length. No pair is left out.
+blocks of BLOCK. A group's lines differ in length by MOST at most, as the key holds the grid's length. Before texts are
+compared, 64 parities of character pairs drop pairs that are provably too far apart. No near pair is left out.
 Verification. What a pair's lines share at either end is cut off; a banded bit-parallel edit distance decides over the rest.
 
 Defined results: null texts have no lines and stay null; identical rows are told apart, the second loses its lines; an
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from quillsift.llm.common import let, packed, row_key, stage
 
-PER, MOST = 40, 3
+PER, MOST = 40, 2
 MIN_CHARS = 20
 BLOCK = 256
 _BLANK = " \t\n\x0b\x0c\r"
@@ -42,21 +43,45 @@ def has_word(line: Column) -> Column:
     return F.translate(line, _BLANK, "") != ""
 
 
+def _probes(most: int) -> list[list[dict[str, int]]]:
+    """For each threshold k from 1: (k, how much longer than the grid's line the own one is, segment, shift)."""
+    return [
+        [{"k": k, "longer": longer, "i": i, "shift": shift} for longer in range(k + 1) for i in range(k + 1) for shift in range(max(-i, longer - (k - i)), min(i, longer + (k - i)) + 1)]
+        for k in range(1, most + 1)
+    ]
+
+
 def segment_keys(line: Column, n: Column, per: int = PER, most: int = MOST) -> Column:
     """Hashes of a line's segments and probes; lines within their edits share one at least."""
-    none = F.array().cast("array<bigint>")
-    every = []
-    for k in range(1, most + 1):
-        for longer in range(k + 1):
-            grid = n - longer
-            cut = lambda i, grid=grid, k=k: F.floor(F.lit(i) * grid / (k + 1)).cast("int")
-            keys = [
-                F.xxhash64(grid, F.lit(i), F.substr(line, cut(i) + shift + 1, cut(i + 1) - cut(i)))
-                for i in range(k + 1)
-                for shift in range(max(-i, longer - (k - i)), min(i, longer + (k - i)) + 1)
-            ]
-            every.append(F.when((grid >= MIN_CHARS) & (edits(grid, per, most) == k), F.array(*keys)).otherwise(none))
-    return F.array_distinct(F.concat(*every))
+    probes = [F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in p.items()]) for p in of_k]) for of_k in _probes(most)]
+    fits = F.filter(F.concat(*probes), lambda p: (n - p["longer"] >= MIN_CHARS) & (edits(n - p["longer"], per, most) == p["k"]))
+    # but near a class's border all grids have one threshold
+    plain = (edits(n - most, per, most) == edits(n, per, most)) & (n - most >= MIN_CHARS)
+    some = F.when(plain, F.element_at(F.array(*probes), edits(n, per, most))).otherwise(fits)
+
+    def keyed(wide: Column) -> Column:
+        def key(p: Column) -> Column:
+            grid = n - p["longer"]
+            cut = lambda i: (i * grid / (p["k"] + 1)).cast("int")
+            return let(cut(p["i"]), lambda at: F.xxhash64(grid, p["i"], F.substr(wide, 4 * (at + p["shift"]) + 1, 4 * (cut(p["i"] + 1) - at))))
+
+        return F.array_distinct(F.transform(some, key))
+
+    # four bytes a character: a substring costs its own length, not that of all that stands before it
+    return let(F.encode(line, "UTF-32"), keyed)
+
+
+def parities(line: Column) -> Column:
+    """64 bits, each the parity of the number of character pairs that hash to it. An edit takes and adds four at most."""
+    pairs = let(F.split(line, ""), lambda c: F.zip_with(c, F.slice(c, F.lit(2), F.size(c)), lambda p, q: F.xxhash64(p, q)))
+    flip = lambda x, h: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))
+    return F.aggregate(pairs, F.lit(0).cast("long"), flip)
+
+
+def _alike(p: str, q: str, per: int, most: int) -> Column:
+    """False only if parities or lengths (of the columns p and q, structs with bits and n) prove that two lines are too far apart."""
+    most_edits = edits(F.least(f"{p}.n", f"{q}.n"), per, most)
+    return (F.bit_count(F.col(f"{p}.bits").bitwiseXOR(F.col(f"{q}.bits"))) <= 4 * most_edits) & (F.abs(F.col(f"{p}.n") - F.col(f"{q}.n")) <= most_edits)
 
 
 def banded_distance(a: Column, b: Column, most: int = MOST) -> Column:
@@ -139,10 +164,10 @@ def _distinct_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
 
 def _later(pairs: DataFrame, lines: DataFrame, per: int, most: int) -> DataFrame:
     """(h): of each near pair (x, y) the line that first stands later."""
-    side = lambda p: lines.select(F.col("h").alias(p), F.col("line").alias(f"l{p}"), F.col("n").alias(f"n{p}"), F.col("first").alias(f"f{p}"))
-    both = pairs.repartition("x").join(side("x"), "x").join(side("y"), "y").filter(F.abs(F.col("nx") - F.col("ny")) <= edits(F.least("nx", "ny"), per, most))
-    longer = F.col("nx") >= F.col("ny")
-    later = F.when(F.col("fx") < F.col("fy"), F.col("y")).otherwise(F.col("x"))
+    side = lambda p: lines.select(F.col("h").alias(p), F.col("line").alias(f"l{p}"), F.col("own").alias(f"o{p}"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y").filter(_alike("ox", "oy", per, most))
+    longer = F.col("ox.n") >= F.col("oy.n")
+    later = F.when(F.col("ox.first") < F.col("oy.first"), F.col("y")).otherwise(F.col("x"))
     both = both.select(later.alias("h"), F.when(longer, F.col("lx")).otherwise(F.col("ly")).alias("la"), F.when(longer, F.col("ly")).otherwise(F.col("lx")).alias("lb"))
     return near_enough(both, per, most).select("h").distinct()
 
@@ -152,21 +177,23 @@ def near_lines(lines: DataFrame, per: int = PER, most: int = MOST) -> DataFrame:
     keyed = lines.select("h", F.explode(segment_keys(F.col("line"), F.col("n"), per, most)).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y"), F.count("*").alias("c")).filter("x < y")
     shared = stage(shared, "lines-keys")
-    narrow = lines.select("h", "first", "n")
-    held = stage(keyed.join(shared.filter("c > 2").select("key"), "key").join(narrow, "h"), "lines-groups")
-    lead = held.groupBy("key").agg(F.min(F.struct("first", "h")).alias("lead"), F.count("*").alias("m"))
-    lead = stage(lead.select("key", F.col("lead.h").alias("lead"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "lines-leads")
-    led = held.select("key", "h").join(lead.select("key", "lead"), "key").filter("h <> lead").select(F.col("lead").alias("x"), F.col("h").alias("y"))
-    pairs = shared.filter("c = 2").select("x", "y").unionByName(led).distinct()
-    settled = stage(_later(stage(pairs, "lines-pairs"), lines, per, most), "lines-settled")
+    two = shared.filter("c = 2").select("x", "y").distinct()
+    held = stage(keyed.join(shared.filter("c > 2").select("key"), "key").select("key", "h"), "lines-groups")
+    some = two.select(F.explode(F.array("x", "y")).alias("h")).unionByName(held.select("h")).distinct()
+    own = F.struct("first", "n", parities(F.col("line")).alias("bits"))
+    known = stage(lines.join(some, "h").select("h", own.alias("own"), "line"), "lines-candidates")
+    held = stage(held.join(known.select("h", "own"), "h"), "lines-held")
+    lead = held.groupBy("key").agg(F.min(F.struct("own.first", "h", "own")).alias("lead"), F.count("*").alias("m"))
+    lead = stage(lead.select("key", F.col("lead.h").alias("x"), F.col("lead.own").alias("ox"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "lines-leads")
+    led = held.join(lead, "key").filter((F.col("h") != F.col("x")) & _alike("own", "ox", per, most)).select("x", F.col("h").alias("y"))
+    settled = stage(_later(stage(two.unionByName(led).distinct(), "lines-pairs"), known, per, most), "lines-settled")
     # the others of a group are not near to its first line: they visit all that stand before them
-    guests = held.join(settled, "h", "left_anti").join(lead, "key").filter("h <> lead").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    guests = guests.select("key", "block", F.col("h").alias("y"), F.col("first").alias("fy"), F.col("n").alias("ny"))
-    hosts = held.join(lead, "key").filter("h <> lead").withColumn("block", F.pmod(F.xxhash64("h", F.lit(3)), F.col("blocks")).cast("int"))
-    hosts = hosts.select("key", "block", F.col("h").alias("x"), F.col("first").alias("fx"), F.col("n").alias("nx"))
-    close = (F.col("fx") < F.col("fy")) & (F.abs(F.col("nx") - F.col("ny")) <= edits(F.least("nx", "ny"), per, most))
-    more = guests.join(hosts, ["key", "block"]).filter(close).select("x", "y").distinct()
-    return settled.unionByName(_later(stage(more, "lines-more"), lines, per, most)).distinct()
+    others = held.join(lead.select("key", "x", "blocks"), "key").filter("h <> x")
+    guests = others.join(settled, "h", "left_anti").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "block", F.col("h").alias("y"), F.col("own").alias("oy"))
+    hosts = others.withColumn("block", F.pmod(F.xxhash64("h", F.lit(3)), F.col("blocks")).cast("int")).select("key", "block", F.col("h").alias("x"), F.col("own").alias("ox"))
+    meet = [guests[c] == hosts[c] for c in ("key", "block")]
+    more = guests.join(hosts, [*meet, (F.col("ox.first") < F.col("oy.first")) & _alike("ox", "oy", per, most)]).select("x", "y").distinct()
+    return settled.unionByName(_later(stage(more, "lines-more"), known, per, most)).distinct()
 
 
 def removed_lines(docs: DataFrame, per: int = PER, most: int = MOST) -> DataFrame:
@@ -217,8 +244,8 @@ ORACLE = """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 w AS (SELECT *, regexp_matches(line, '[^\\x20\\x09-\\x0D]') AS word FROM l),
 f AS (SELECT line, min((doc_id, i)) AS first, length(line) AS n FROM w WHERE word GROUP BY line),
-p AS (SELECT a.line AS x, b.line AS y, b.first > a.first AS y_later, least(greatest(a.n // 40, 1), 3) AS k, a.n // 4 AS q
-  FROM f AS a JOIN f AS b ON b.n BETWEEN a.n AND a.n + 3 AND (a.n < b.n OR a.line < b.line)
+p AS (SELECT a.line AS x, b.line AS y, b.first > a.first AS y_later, least(greatest(a.n // 40, 1), 2) AS k, a.n // 4 AS q
+  FROM f AS a JOIN f AS b ON b.n BETWEEN a.n AND a.n + 2 AND (a.n < b.n OR a.line < b.line)
   WHERE a.n >= 20 AND (contains(b.line, a.line[1:a.n // 4]) OR contains(b.line, a.line[a.n // 4 + 1:a.n // 2]) OR contains(b.line, a.line[a.n // 2 + 1:a.n // 2 + a.n // 4]) OR contains(b.line, a.line[a.n // 2 + a.n // 4 + 1:]))),
 z AS (SELECT coalesce(string_agg(DISTINCT c, ''), '') AS wide FROM (SELECT unnest(regexp_extract_all(text, '[^\\x00-\\x7F]')) AS c FROM documents)),
 o AS (SELECT string_agg(chr(i::INTEGER), '') AS bytes FROM range(1, 32) AS r(i) WHERE i NOT BETWEEN 9 AND 13),
