@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,32 +15,64 @@ from quillsift.session import ship
 #: Word separators of every contract: space and \x09-\x0D (Java and RE2 character class).
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+NOT_SPACE = r"[^\x20\x09-\x0D]"
 
 _BASE = "quillsift.stage.base"
 
 
+#: Paths staged in the open scopes, innermost last.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
 def stage_dir(spark: SparkSession) -> str:
-    """The shared folder for staged tables: spark.checkpoint.dir, or (unset, as in tests) one of our own."""
+    """The shared folder for staged tables: spark.checkpoint.dir, or one of our own where it is unset and Spark runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_BASE, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillsift-")
         spark.conf.set(_BASE, base)
     return base.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{stage_dir(spark)}/quillsift/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
+    out, path = _written(df, name)
+    for scope in _SCOPES.get()[-1:]:
+        scope.append(path)
+    return out
+
+
+def staged(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """make()'s rows as a staged table; what make staged on its way is deleted once that is written."""
+    own: list[str] = []
+    mark = _SCOPES.set((*_SCOPES.get(), own))
+    try:
+        out, path = _written(make(), name)
+    finally:
+        _SCOPES.reset(mark)
+        for p in own:
+            _delete(spark, p)
+    for scope in _SCOPES.get()[-1:]:
+        scope.append(path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def clear(spark: SparkSession) -> None:
     """Delete all staged tables; results that were not written yet can't be read after it."""
-    jvm, path = spark._jvm, f"{stage_dir(spark)}/quillsift"
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _delete(spark, f"{stage_dir(spark)}/quillsift")
 
 
 def arrow_batches(spark: SparkSession, records: int = 512) -> None:
@@ -50,10 +83,8 @@ def arrow_batches(spark: SparkSession, records: int = 512) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table; one of fewer files than cores (a small one) is dealt out, as its work is per character."""
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    """The documents table."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def packed(docs: DataFrame, *names: str) -> DataFrame:

@@ -12,7 +12,7 @@ have with its substrings at these shifts: a fixed number of keys for each thresh
 Candidates. Lines are first made distinct. A key that two lines share gives one pair. In a larger group the first line is held
 against the others, which settles those near it; what is left are guests, which visit all earlier lines of their group in
 blocks of BLOCK. A group's lines differ in length by MOST at most, as the key holds the grid's length. Before texts are
-compared, 64 parities of character pairs drop pairs that are provably too far apart. No near pair is left out.
+compared, parities of character pairs and of characters drop pairs that are provably too far apart. No near pair is left out.
 Verification. What a pair's lines share at either end is cut off; a banded bit-parallel edit distance decides over the rest.
 
 Defined results: null texts have no lines and stay null; identical rows are told apart, the second loses its lines; an
@@ -25,12 +25,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import let, packed, row_key, stage
+from quillsift.llm.common import NOT_SPACE, let, packed, row_key, stage, staged
 
 PER, MOST = 40, 2
 MIN_CHARS = 20
 BLOCK = 256
-_BLANK = " \t\n\x0b\x0c\r"
 
 
 def edits(n: Column, per: int = PER, most: int = MOST) -> Column:
@@ -40,7 +39,7 @@ def edits(n: Column, per: int = PER, most: int = MOST) -> Column:
 
 def has_word(line: Column) -> Column:
     """Whether a line has a character that is not a separator."""
-    return F.translate(line, _BLANK, "") != ""
+    return F.rlike(line, F.lit(NOT_SPACE))
 
 
 def _probes(most: int) -> list[list[dict[str, int]]]:
@@ -72,16 +71,21 @@ def segment_keys(line: Column, n: Column, per: int = PER, most: int = MOST) -> C
 
 
 def parities(line: Column) -> Column:
-    """64 bits, each the parity of the number of character pairs that hash to it. An edit takes and adds four at most."""
-    pairs = let(F.split(line, ""), lambda c: F.zip_with(c, F.slice(c, F.lit(2), F.size(c)), lambda p, q: F.xxhash64(p, q)))
+    """(pairs, ones): 64 bits each, the parities of the numbers of character pairs and of characters that hash to them.
+
+    An edit takes and adds four pairs and two characters at most.
+    """
     flip = lambda x, h: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))
-    return F.aggregate(pairs, F.lit(0).cast("long"), flip)
+    follow = lambda c: F.zip_with(c, F.slice(c, F.lit(2), F.size(c)), lambda p, q: F.struct(F.xxhash64(p, q).alias("p"), F.ascii(p).alias("o")))
+    start = F.struct(F.lit(0).cast("long").alias("pairs"), F.lit(0).cast("long").alias("ones"))
+    return F.aggregate(let(F.split(line, ""), follow), start, lambda x, h: F.struct(flip(x["pairs"], h["p"]).alias("pairs"), flip(x["ones"], h["o"]).alias("ones")))
 
 
 def _alike(p: str, q: str, per: int, most: int) -> Column:
     """False only if parities or lengths (of the columns p and q, structs with bits and n) prove that two lines are too far apart."""
-    most_edits = edits(F.least(f"{p}.n", f"{q}.n"), per, most)
-    return (F.bit_count(F.col(f"{p}.bits").bitwiseXOR(F.col(f"{q}.bits"))) <= 4 * most_edits) & (F.abs(F.col(f"{p}.n") - F.col(f"{q}.n")) <= most_edits)
+    apart = lambda bits: F.bit_count(F.col(f"{p}.bits.{bits}").bitwiseXOR(F.col(f"{q}.bits.{bits}")))
+    k = edits(F.least(f"{p}.n", f"{q}.n"), per, most)
+    return (apart("pairs") <= 4 * k) & (apart("ones") <= 2 * k) & (F.abs(F.col(f"{p}.n") - F.col(f"{q}.n")) <= k)
 
 
 def banded_distance(a: Column, b: Column, most: int = MOST) -> Column:
@@ -210,7 +214,7 @@ def removed_lines(docs: DataFrame, per: int = PER, most: int = MOST) -> DataFram
 def dedup(docs: DataFrame, per: int = PER, most: int = MOST) -> DataFrame:
     """docs (doc_id, text, ...) with _lines (lines with a word), _removed (how many of them go) and _kept (the text left)."""
     keyed = docs.withColumn("_k", row_key("doc_id", "text"))
-    gone = stage(removed_lines(keyed.select(F.col("_k").alias("k"), "doc_id", "text"), per, most), "lines-gone")
+    gone = staged(docs.sparkSession, "lines-gone", lambda: removed_lines(keyed.select(F.col("_k").alias("k"), "doc_id", "text"), per, most))
     same = Window.partitionBy("_k").orderBy("doc_id")
     joined = keyed.join(gone.withColumnRenamed("k", "_g"), F.col("_k") == F.col("_g"), "left").withColumn("_copy", F.row_number().over(same))
     split = _once(joined.withColumn("_s", F.split("text", "\n")), "_lines_", F.col("_s"))
