@@ -41,13 +41,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """Substring hashes of one buffer."""
+    """Hashes of the parts of one buffer of bytes, or of a sequence of 64-bit values (hashes of words)."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
         up, self.down = powers(n + 1)
         self.sums = np.zeros(n + 1, U64)
-        np.cumsum(_TABLE[data] * up[:n], out=self.sums[1:])
+        np.cumsum((_TABLE[data] if data.dtype == np.uint8 else data) * up[:n], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.down[start]
@@ -58,6 +58,34 @@ class Hashes:
         return (self.sums[width:] - self.sums[:m]) * self.down[:m]
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all lower-cased words, and for each text the numbers of its first word and the one after its last."""
+    data = LOWER[data]
+    solid = ~SPACE[data]
+    before, after = np.r_[False, solid[:-1]], np.r_[solid[1:], False]
+    some = ends > starts
+    before[starts[some]] = False
+    after[ends[some] - 1] = False
+    a, b = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
+    words = mix(Hashes(data).of(a, b) + (b - a).astype(U64))
+    return words, np.searchsorted(a, starts), np.searchsorted(a, ends)
+
+
+def words_of(data: np.ndarray, part: int = 1 << 20) -> np.ndarray:
+    """Hashes of the words of one text of any length, read in parts that end between words."""
+    out, at = [], 0
+    while at < len(data):
+        end = min(at + part, len(data))
+        while end < len(data):
+            gap = np.flatnonzero(SPACE[data[end : end + part]])
+            end += int(gap[0]) if len(gap) else min(part, len(data) - end)
+            if len(gap):
+                break
+        out.append(word_hashes(data[at:end], np.zeros(1, np.int64), np.array([end - at]))[0])
+        at = end
+    return np.concatenate(out) if out else np.empty(0, U64)
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each window, by start."""
     out, span = x, 1

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillsift.llm.bytehash import LOWER, SPACE, U64, Hashes, flat, mix, slices
+from quillsift.llm.bytehash import U64, flat, mix, slices, word_hashes
 from quillsift.llm.common import arrow_batches, packed, row_key, stage
 from quillsift.llm.components import components
 
@@ -44,19 +44,6 @@ GUESTS = 256
 _STEPS = mix(np.arange(1, 9, dtype=U64)) | U64(1)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all lower-cased words, and for each text the numbers of its first word and the one after its last."""
-    data = LOWER[data]
-    solid = ~SPACE[data]
-    before, after = np.r_[False, solid[:-1]], np.r_[solid[1:], False]
-    some = ends > starts
-    before[starts[some]] = False
-    after[ends[some] - 1] = False
-    a, b = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
-    words = mix(Hashes(data).of(a, b) + (b - a).astype(U64))
-    return words, np.searchsorted(a, starts), np.searchsorted(a, ends)
-
-
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = N) -> list[np.ndarray]:
     """A rising array of distinct shingle hashes for each text."""
     starts, ends = offsets[:-1], offsets[1:]
