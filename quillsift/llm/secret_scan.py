@@ -1,9 +1,13 @@
 """Secret scans: fixed patterns plus sliding-window entropy per character class.
 
-Base kinds (assign, access, hex) are patterns. Further candidates are long runs of token characters; for each character
-class a window slides over the run, Shannon entropy is kept up to date from counts (one character in, one out), and a
-window above the class's bits adds the run as a span, unless the allow-list knows it. Spans are in code points, end
-exclusive. Null texts are empty; each row is scanned alone, in bounded Arrow batches, whatever its length.
+Base kinds (assign, access, hex) are patterns. Further candidates are long runs of token characters, less what base spans
+cover; for each character class a window slides over what is left of a run, Shannon entropy is kept up to date from counts
+(one character in, one out), and a window above the class's bits adds that piece as a span, unless the allow-list knows it.
+Words of one case, plain numbers and the like hold too few kinds of characters to be one. Spans are in code points, end
+exclusive.
+
+Defined results: null texts are empty; each row is scanned alone, so repeated rows give equal results; an empty table gives
+an empty one; extra columns are ignored; a text of any length is scanned whole, in time that grows with its length.
 """
 
 from __future__ import annotations
@@ -34,10 +38,17 @@ CLASSES = (
     ("base64", frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/=_-"), 3.7),
 )
 #: Shapes that are known not to be secrets: UUIDs, plain words, numbers, snake or kebab words.
+KINDS_OF_CHARACTERS = tuple(re.compile(x) for x in ("[a-z]", "[A-Z]", "[0-9]"))
 ALLOWED = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|[A-Z]?[a-z]+|[A-Z]+|[0-9+=_-]+|(?:[A-Za-z]+[-_/=+]+)+[A-Za-z]*")
 _LOG = [0.0, 0.0, *(n * math.log2(n) for n in range(2, WINDOW + 1))]
 
 
+def mixed(piece: str) -> bool:
+    """Two kinds of characters at least; a digit, or letters of both cases as often as chance mixes them."""
+    lower, upper, digit = (len(kind.findall(piece)) for kind in KINDS_OF_CHARACTERS)
+    return bool(digit and lower + upper) or min(lower, upper) * 4 >= len(piece)
+
+
 def window_entropy(run: str, chars: frozenset[str], width: int = WINDOW) -> float:
     """Highest entropy in bits of a window of `width` characters of one class within run; -1 without such a window.
 
@@ -72,19 +83,33 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def entropy_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans that the entropy of a window adds; none overlaps a base span."""
-    out, k, reach = [], 0, -1
+    """Spans that the entropy of a window adds: pieces of runs that no base span covers."""
+    out: list[tuple[int, int, int]] = []
+    cover = merged(taken)
+    k = 0
     for m in CANDIDATE.finditer(text):
-        run, a, b = m.group(), m.start(), m.end()
-        while k < len(taken) and taken[k][0] < b:
-            reach = max(reach, taken[k][2])
+        start, end = m.span()
+        while k < len(cover) and cover[k][1] <= start:
             k += 1
-        if a < reach or ALLOWED.fullmatch(run):
-            continue
-        if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
-            continue
-        if any(window_entropy(run, chars) >= bits for _, chars, bits in CLASSES):
-            out.append((a, 3, b))
+        j = k
+        while start < end:
+            hit = cover[j] if j < len(cover) and cover[j][0] < end else (end, end)
+            piece = text[start : max(hit[0], start)]
+            if len(piece) >= WINDOW and mixed(piece) and not ALLOWED.fullmatch(piece) and any(window_entropy(piece, chars) >= bits for _, chars, bits in CLASSES):
+                out.append((start, 3, start + len(piece)))
+            start = max(start, hit[1])
+            j += 1
+    return out
+
+
+def merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of the maximal stretches that spans cover, rising."""
+    out: list[tuple[int, int]] = []
+    for a, _, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
     return out
 
 

@@ -1,3 +1,5 @@
+import random
+import string
 import hashlib
 import math
 import re
@@ -6,7 +8,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from quillsift.llm import secret_scan as S
-from tests.llm.helpers import corpus, empty, frame
+from tests.llm.helpers import corpus, empty, frame, prose
 
 ROWS = [
     *corpus(),
@@ -61,3 +63,44 @@ def test_empty_table_and_repeated_rows(spark):
     assert S.query(empty(spark)).count() == 0
     twice = frame(spark, [(50, ROWS[-4][1], "a")] * 2).withColumn("spans", F.lit(1))
     assert len({tuple(r) for r in S.query(twice).collect()}) == 1
+
+
+def planted(seed, n):
+    """(texts, shape of each one's secret): secrets that no base pattern matches, in prose with hard negatives around."""
+    rng = random.Random(seed)
+    base62 = string.ascii_letters + string.digits
+    shapes = {
+        "prefixed": lambda: "ghp_" + "".join(rng.choices(base62, k=36)), "base64": lambda: "".join(rng.choices(base62 + "+/", k=43)) + "=",
+        "upper hex": lambda: "".join(rng.choices("0123456789ABCDEF", k=40)), "short hex": lambda: "".join(rng.choices("0123456789abcdef", k=23)),
+        "after a key": lambda: "AKIA" + "".join(rng.choices(string.ascii_uppercase + string.digits, k=16)) + "/" + "".join(rng.choices(base62, k=40)),
+    }
+    clean = ["internationalisation", "Donaudampfschifffahrtsgesellschaft", "4111111111111111", "2024-01-02T03:04:05", "550e8400-e29b-41d4-a716-446655440000", "getElementsByClassNameAndTag", "snake_case_name_of_a_function", "============================", "THISISALLONEWORDOFCAPITALS"]
+    texts, kinds = [], []
+    for i in range(n):
+        words = [*rng.sample(clean, 5), *prose(40, i).split()]
+        kind = rng.choice([None, *shapes])
+        if kind:
+            words.insert(rng.randrange(len(words)), shapes[kind]())
+        texts.append(" ".join(words))
+        kinds.append(kind)
+    return texts, kinds
+
+
+def test_entropy_finds_what_patterns_miss_and_leaves_clean_text_alone():
+    texts, kinds = planted(5, 600)
+    found = {}
+    for t, kind in zip(texts, kinds, strict=True):
+        added = any(k == 3 for _, k, _ in S.entropy_spans(t, S.base_spans(t)))
+        found.setdefault(kind, []).append(added)
+    share = {k: sum(v) / len(v) for k, v in found.items()}
+    assert share.pop(None) == 0.0
+    assert all(v >= 0.9 for v in share.values()), share
+
+
+def test_entropy_spans_are_what_base_spans_leave():
+    rng = random.Random(1)
+    tail = "".join(rng.choices(string.ascii_letters + string.digits, k=40))
+    text = "x AKIA" + "Q7" * 9 + "/" + tail + " y"
+    base = S.base_spans(text)
+    assert [(k, text[a:b]) for a, k, b in S.entropy_spans(text, base)] == [(3, "/" + tail)]
+    assert S.merged([(1, 0, 5), (3, 2, 4), (5, 1, 7), (9, 0, 10)]) == [(1, 7), (9, 10)]
