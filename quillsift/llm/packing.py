@@ -6,10 +6,15 @@
    ISLANDS islands; each evolves a population of packings: crossover injects whole well-filled sequences of one parent
    into the other, removes the sequences that hold their pieces twice, and best-fits the displaced ones. After each
    epoch an island sends its elite to the next one of its shard, over a join of small rows.
-3. The best island's packing gives sequence_id and offset.
+3. Leftovers: each shard keeps its fullest sequences and hands on the emptiest quarter (HANDED), but for full ones. Those of all shards
+   meet in new shards, whole, and are packed by the same search, which starts from them as they are; and so on, until one
+   shard is left. So what shards waste is not one sequence each, but about one in all.
+4. The best island's packing gives sequence_id and offset.
 
 Defined results: a null or empty text is one piece, the end token alone; repeated rows are pieces of their own; an empty
-table gives an empty result. The best-fit start leaves the genetic search no way to end worse than best-fit decreasing.
+table gives an empty result; extra columns, also such with clashing names, are ignored; a text of any length is encoded as a
+whole, since its ids depend on it, and a repeated one once. A shard never ends worse than best-fit decreasing, nor than the
+leftovers it was given.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from __future__ import annotations
 import base64
 import random
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +36,11 @@ from quillsift.llm.common import arrow_batches, stage
 LIMIT = 1024
 END = 2
 SHARD = 4096
-ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 3, 4
+ISLANDS, EPOCHS, POPULATION = 2, 2, 4
+#: Generations of an epoch: in the first round, and in those over leftovers, which are few.
+GENERATIONS = (2, 12)
+#: One in so many sequences of a shard is handed on, if it is not full.
+HANDED = 4
 MAX_TASKS = 20_000
 SPECIAL = "<|endoftext|>"
 
@@ -158,6 +168,53 @@ def fitness(sizes: list[int], bins: list[list[int]], limit: int) -> tuple[int, f
     return -len(bins), sum((sum(sizes[i] for i in b) / limit) ** 2 for b in bins)
 
 
+def dominate(bins: list[list[int]], lost: list[int], sizes: list[int], limit: int) -> list[int]:
+    """What is left of the lost items after bins took larger ones of them for smaller ones of their own, where these fit.
+
+    One item goes for one or two lost ones, or two go for one: each exchange leaves a bin fuller and smaller items to place.
+    """
+    lost = sorted(lost, key=lambda i: sizes[i])
+    spare = [sizes[i] for i in lost]
+
+    def swap(b: list[int], out: tuple[int, ...], places: list[int]) -> None:
+        taken = [lost[j] for j in places]
+        for j in sorted(places, reverse=True):
+            del lost[j], spare[j]
+        for i in out:
+            b.remove(i)
+            j = bisect_right(spare, sizes[i])
+            lost.insert(j, i)
+            spare.insert(j, sizes[i])
+        b += taken
+
+    for b in bins:
+        free = limit - sum(sizes[i] for i in b)
+        if not free or not lost:
+            continue
+        best: tuple[int, tuple[int, ...], list[int]] = (0, (), [])
+        outs = [(i,) for i in b] + [(i, j) for n, i in enumerate(b) for j in b[:n]] * (len(b) <= 6)
+        for out in outs:
+            held = sum(sizes[i] for i in out)
+            j = bisect_right(spare, held + free) - 1
+            if j >= 0 and spare[j] - held > best[0]:
+                best = (spare[j] - held, out, [j])
+            if len(out) == 1:
+                lo, hi = 0, min(j, len(spare) - 1)
+                while lo < hi:  # the largest pair that fits
+                    pair = spare[lo] + spare[hi] - held
+                    if pair > free:
+                        hi -= 1
+                    else:
+                        if pair > best[0]:
+                            best = (pair, out, [lo, hi])
+                        lo += 1
+            if best[0] == free:
+                break
+        if best[0]:
+            swap(b, best[1], best[2])
+    return lost
+
+
 def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], limit: int, rng: random.Random) -> list[list[int]]:
     """a with well-filled bins of b injected whole; bins of a that hold their items go, what they lose is best-fitted."""
     full = [x for x in b if sum(sizes[i] for i in x) >= 0.97 * limit]
@@ -169,11 +226,16 @@ def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], limit: i
             rest.append(x)
         else:
             lost += [i for i in x if i not in given]
-    # the emptiest bins are opened too: their items may close gaps elsewhere
+    # some of the emptier bins are opened too: their items may close gaps elsewhere
     rest.sort(key=lambda x: sum(sizes[i] for i in x))
-    for x in rest[: max(1, len(rest) // 50)]:
-        lost += x
-    return [*gift, *best_fit_decreasing(sizes, lost, rest[max(1, len(rest) // 50) :], limit)]
+    emptier = rest[: max(2, len(rest) // 8)]
+    chosen = set(rng.sample(range(len(emptier)), min(len(emptier), max(2, len(rest) // 50))))
+    for k in chosen:
+        lost += rest[k]
+    rest = [list(x) for k, x in enumerate(rest) if k not in chosen]
+    rng.shuffle(rest)
+    lost = dominate(rest, lost, sizes, limit)
+    return [*gift, *best_fit_decreasing(sizes, lost, rest, limit)]
 
 
 def coded(bins: list[list[int]], n: int) -> bytes:
@@ -192,7 +254,7 @@ def decoded(raw: bytes) -> list[list[int]]:
     return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(at[order])) + 1)]
 
 
-def evolve(sizes: list[int], seeds: list[bytes], limit: int, rng: random.Random) -> bytes:
+def evolve(sizes: list[int], seeds: list[bytes], limit: int, rng: random.Random, generations: int = GENERATIONS[1]) -> bytes:
     """One epoch of an island; the best packing of it."""
     n = len(sizes)
     people = [decoded(s) for s in seeds]
@@ -208,7 +270,7 @@ def evolve(sizes: list[int], seeds: list[bytes], limit: int, rng: random.Random)
         people.append(best_fit_decreasing(sizes, list(rest), shelf.bins(), limit))
     score = lambda p: fitness(sizes, p, limit)
     people.sort(key=score, reverse=True)
-    for _ in range(GENERATIONS):
+    for _ in range(generations):
         if len(people[0]) <= least:
             break
         child = crossover(people[0], rng.choice(people[1:]), sizes, limit, rng)
@@ -217,9 +279,9 @@ def evolve(sizes: list[int], seeds: list[bytes], limit: int, rng: random.Random)
     return coded(people[0], n)
 
 
-def pack_lengths(shards: DataFrame, limit: int = LIMIT, seed: int = 5) -> DataFrame:
-    """(shard, sizes binary of uint16) to (shard, plan binary: bin number of each item), by islands."""
-    islands = shards.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1)))).withColumn("own", F.lit(None).cast("binary")).withColumn("guest", F.lit(None).cast("binary"))
+def pack_lengths(shards: DataFrame, limit: int = LIMIT, seed: int = 5, generations: int = GENERATIONS[0]) -> DataFrame:
+    """(shard, sizes binary of uint16, given binary: a first plan or null) to (shard, plan binary: bin number of each item), by islands."""
+    islands = shards.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1)))).withColumn("own", F.col("given")).withColumn("guest", F.lit(None).cast("binary"))
 
     def epoch(number: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +290,7 @@ def pack_lengths(shards: DataFrame, limit: int = LIMIT, seed: int = 5) -> DataFr
                 for r in rows:
                     rng = random.Random(f"{seed}/{r['shard']}/{r['island']}/{number}")
                     sizes = np.frombuffer(r["sizes"], np.uint16).tolist()
-                    r["own"] = evolve(sizes, [x for x in (r["own"], r.pop("guest")) if x], limit, rng)
+                    r["own"] = evolve(sizes, [x for x in (r["own"], r.pop("guest")) if x], limit, rng, generations)
                     r["bins"] = int(np.frombuffer(r["own"], np.uint32).max()) + 1
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("sizes", pa.binary()), ("own", pa.binary()), ("bins", pa.int64())]))
 
@@ -250,19 +312,43 @@ def pack(docs: DataFrame, name: str = "byte_bpe_50k", limit: int = LIMIT, shard:
     every = stage(pieces(docs, name, limit, with_ids), "pack-pieces")
     full = every.filter(F.col("length") == limit).withColumn("sequence_id", -F.col("uid") - 1).withColumn("offset", F.lit(0).cast("long"))
     part = every.filter(F.col("length") < limit)
-    n = max(1, -(-part.count() // shard))
-    part = part.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(n)).cast("long"))
-    listed = part.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("uid", F.col("length").cast("int").alias("n")))).alias("items"))
-    arrow_batches(spark, 64)
+    placed = packed_items(part.select("uid", F.col("length").cast("int").alias("n"), F.lit(None).cast("long").alias("bin")), limit, shard)
+    return full.unionByName(part.join(placed, F.col("uid") == F.col("u")).drop("u"))
+
+
+def packed_items(items: DataFrame, limit: int = LIMIT, shard: int = SHARD) -> DataFrame:
+    """(u, sequence_id, offset) for items (uid, n, bin null): round after round over what shards hand on."""
+    arrow_batches(items.sparkSession, 64)
+    done, level, n = None, 0, max(1, -(-items.count() // shard))
+    while True:
+        own, last = _round(items, n, level, limit)
+        kept = own.filter("NOT handed").select("u", "sequence_id", "offset")
+        done = kept if done is None else done.unionByName(kept)
+        if last:
+            return done
+        handed = own.filter("handed")
+        n, level = max(1, min(-(-handed.count() // shard), n // 2)), level + 1
+        items = handed.select(F.col("u").alias("uid"), "n", F.col("sequence_id").alias("bin"))
+
+
+def _round(items: DataFrame, n: int, level: int, limit: int) -> tuple[DataFrame, bool]:
+    """((u, n, sequence_id, offset, handed) of items in n shards, whether none is handed on)."""
+    last = n == 1
+    # sequences that were handed on stay whole, so that the next search can start from them
+    listed = items.withColumn("shard", F.pmod(F.xxhash64(F.coalesce("bin", "uid"), F.lit(level)), F.lit(n)).cast("long"))
+    listed = listed.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("uid", "n", "bin"))).alias("items"))
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            packed = [np.array([x["n"] for x in items], np.uint16).tobytes() for items in b.column(1).to_pylist()]
-            uids = [np.array([x["uid"] for x in items], np.int64).tobytes() for items in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary()), pa.array(uids, pa.binary())], names=["shard", "sizes", "uids"])
+            cols: list[list] = [[], [], []]
+            for own in b.column(1).to_pylist():
+                cols[0].append(np.array([x["n"] for x in own], np.uint16).tobytes())
+                cols[1].append(np.array([x["uid"] for x in own], np.int64).tobytes())
+                cols[2].append(np.unique([x["bin"] for x in own], return_inverse=True)[1].astype(np.uint32).tobytes() if level else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.binary()) for c in cols]], names=["shard", "sizes", "uids", "given"])
 
-    shards = stage(listed.mapInArrow(sizes, "shard long, sizes binary, uids binary"), "pack-shards")
-    plans = pack_lengths(shards.select("shard", "sizes"), limit)
+    shards = stage(listed.mapInArrow(sizes, "shard long, sizes binary, uids binary, given binary"), "pack-shards")
+    plans = pack_lengths(shards.select("shard", "sizes", "given"), limit, generations=GENERATIONS[level > 0])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -273,11 +359,14 @@ def pack(docs: DataFrame, name: str = "byte_bpe_50k", limit: int = LIMIT, shard:
                 first = np.r_[True, np.diff(at[order]) != 0]
                 offset = np.empty(len(at), np.int64)
                 offset[order] = before - np.maximum.accumulate(np.where(first, before, 0))
-                yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array((k << 24) + at), pa.array(offset)], names=["u", "sequence_id", "offset"])
-
-    placed = shards.join(plans, "shard").select("shard", "sizes", "uids", "plan").mapInArrow(place, "u long, sequence_id long, offset long")
-    part = part.drop("shard").join(placed, F.col("uid") == F.col("u")).drop("u")
-    return full.unionByName(part)
+                fill = np.bincount(at, size).astype(np.int64)
+                emptiest = np.argsort(fill, kind="stable")[: -(-len(fill) // HANDED)]
+                hand = np.zeros(len(fill), bool)
+                hand[emptiest[fill[emptiest] < limit]] = not last
+                yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(size.astype(np.int32)), pa.array((level << 52) + (k << 20) + at), pa.array(offset), pa.array(hand[at])], names=["u", "n", "sequence_id", "offset", "handed"])
+
+    placed = shards.join(plans, "shard").select("shard", "sizes", "uids", "plan").mapInArrow(place, "u long, n int, sequence_id long, offset long, handed boolean")
+    return stage(placed, f"pack-placed{level}"), last
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -61,3 +61,31 @@ def test_small_shards_empty_table_and_ids(spark):
     rows = out.collect()
     assert len(rows) == 60 and all(len(r.ids) == 4 * r.length for r in rows)
     assert P.query(empty(spark)).count() == 0
+
+
+def test_shards_together_come_near_the_bound(spark):
+    rng = random.Random(7)
+    sizes = [min(int(rng.lognormvariate(5.2, 0.9)) + 1, 1023) for _ in range(3000)]
+    items = spark.createDataFrame(list(enumerate(sizes)), "uid long, n int").withColumn("bin", F.lit(None).cast("long"))
+    alone = -(-sum(sizes) // 1024)
+    one = len(P.best_fit_decreasing(sizes, list(range(3000)), [], 1024))
+    for shard in (150, 1):
+        rows = P.packed_items(items, shard=shard).collect()
+        assert sorted(r.u for r in rows) == list(range(3000))
+        bins = defaultdict(list)
+        for r in rows:
+            bins[r.sequence_id].append(r)
+        for held in bins.values():
+            at = 0
+            for r in sorted(held, key=lambda r: r.offset):
+                assert r.offset == at
+                at += sizes[r.u]
+            assert at <= 1024
+        if shard == 150:
+            assert alone <= len(bins) <= one + 1, (alone, len(bins), one)  # one: a single task over all items
+
+
+def test_leftovers_are_not_made_worse():
+    sizes = [600, 424, 500, 524, 300, 724]
+    given = P.coded([[0, 1], [2, 3], [4, 5]], 6)
+    assert len(P.decoded(P.evolve(sizes, [given], 1024, random.Random(1)))) == 3
