@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillsift.functions import lexicon as L
+from quillsift.functions import text as T
+from quillsift.session import settled
+
 
 def seeded(key: Column, seed: int) -> Column:
     """A repeatable order of keys."""
@@ -35,6 +39,54 @@ def proportional_sample(df: DataFrame, keys: list[str], target: int, order: Colu
     return joined.filter("_rn <= quota").select(*[ranked[c] for c in df.columns])
 
 
+def strata_key(date: Column, auth: Column) -> Column:
+    """The stratum of a message: its month, and whether it has an Authentication-Results header that is not empty."""
+    return F.struct(T.year_month(date).alias("year_month"), (F.coalesce(auth, F.lit("")) != "").alias("has_auth"))
+
+
+def with_paths(facts: DataFrame, sample: DataFrame, key: str, path: str = "path") -> DataFrame:
+    """facts with the path of the sample's row of the same key; by key, so that a message that was not parsed shifts nothing."""
+    return facts.join(sample.select(key, path), key)
+
+
+def pool_filter(pool: DataFrame, forced: DataFrame, key: str, blocked: list[str] | None = None) -> DataFrame:
+    """Rows that may be drawn: not forced already, not known as spam, from no blocked domain, of no spam template, with a body
+    that can be labelled, and with a positive signal in the audit's reason. Unknown spam status, domain and reason pass.
+    """
+    template = F.rlike(F.coalesce("body_text", F.lit("")), F.lit("(?iuU)" + "|".join(L.SPAM_TEMPLATES)))
+    spam = F.coalesce("is_spam_not_phishing", F.lit(False))
+    listed = F.coalesce(F.col("from_domain").isin(L.SPAM_INFRASTRUCTURE_DOMAINS if blocked is None else blocked), F.lit(False))
+    unsure = F.startswith(F.coalesce("spam_reason", F.lit("")), F.lit(L.NO_SIGNAL_REASON))
+    rest = pool.join(forced.select(key).distinct(), key, "left_anti")
+    return rest.filter(~spam & ~listed & ~template & F.coalesce(T.usable_body(F.col("body_text")), F.lit(False)) & ~unsure)
+
+
+def balanced_pick(df: DataFrame, label: str, halves: dict[str, int], bucket: str, within: Column, between: Column) -> DataFrame:
+    """For each label so many rows, by turns over the buckets (a current verdict, say) that its rows fall in."""
+    out = None
+    for value, count in halves.items():
+        part = stratified_pick(df.filter(F.col(label) == value), bucket, count, within, between)
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else df.limit(0)
+
+
+def checked_pick(picked: DataFrame, key: str, *others: DataFrame) -> DataFrame:
+    """picked, or an error where a key is picked twice or is in another list already."""
+    rows = picked.withColumn("_n", F.count("*").over(Window.partitionBy(key)))
+    rows = rows.withColumn("_ok", F.assert_true(F.col("_n") == 1, F.concat(F.lit("picked twice: "), F.col(key).cast("string"))))
+    for x in others:
+        rows = rows.join(x.select(key).distinct().withColumn("_held", F.lit(True)), key, "left")
+        rows = rows.withColumn("_ok", F.coalesce("_ok", F.assert_true(F.col("_held").isNull(), F.concat(F.lit("held already: "), F.col(key).cast("string"))))).drop("_held")
+    # the check is read by a filter, so that no plan can leave it out
+    return rows.filter("_ok IS NULL").select(*picked.columns)
+
+
+def review_sample(pool: DataFrame, key: str, label: str, verdict: str, halves: dict[str, int], seed: int, *excluded: DataFrame) -> DataFrame:
+    """A review set: rows in none of the excluded lists, so many of each label, spread over the current verdicts."""
+    rows = exclude(pool, key, *excluded)
+    return checked_pick(balanced_pick(rows, label, halves, verdict, seeded(F.col(key), seed), F.col(verdict)), key, *excluded)
+
+
 def stratified_pick(df: DataFrame, bucket: str, count: int, within: Column, between: Column) -> DataFrame:
     """Round-robin over buckets: the first of each bucket, then the second, until count rows."""
     turn = F.row_number().over(Window.partitionBy(bucket).orderBy(within))
@@ -88,7 +140,7 @@ def alias_map(values: DataFrame, known: DataFrame | None = None) -> DataFrame:
     start = F.lit(0).cast("long")
     if known is not None:
         firsts = firsts.join(known.select("real"), "real", "left_anti")
-    spread = firsts.repartitionByRange("first", "real").withColumn("_p", F.spark_partition_id())
+    spread = settled(firsts.repartitionByRange("first", "real").withColumn("_p", F.spark_partition_id()))
     counts = spread.groupBy("_p").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = F.row_number().over(Window.partitionBy("_p").orderBy("first", "real"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 from functools import reduce
 
 import pandas as pd
@@ -12,8 +11,6 @@ from pyspark.sql import functions as F
 from quillsift.functions import lexicon as L
 from quillsift.session import ship
 
-MAX_SPANS = 6
-
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
@@ -81,15 +78,59 @@ def _overlap(a: tuple[int, int], b: tuple[int, int]) -> float:
     return inter / union if union > 0 else 0.0
 
 
+def assignment(cost: list[list[int]]) -> list[int]:
+    """The column of each row, all different, of least total cost; there are no more rows than columns (Kuhn and Munkres)."""
+    n, m = len(cost), len(cost[0]) if cost else 0
+    up, left, row_of = [0] * (n + 1), [0] * (m + 1), [0] * (m + 1)
+    for row in range(1, n + 1):
+        row_of[0], at = row, 0
+        slack: list[int | None] = [None] * (m + 1)
+        before, seen = [0] * (m + 1), [False] * (m + 1)
+        while row_of[at]:
+            seen[at] = True
+            own, step, to = row_of[at], None, 0
+            for j in range(1, m + 1):
+                if not seen[j]:
+                    more = cost[own - 1][j - 1] - up[own] - left[j]
+                    if slack[j] is None or more < slack[j]:
+                        slack[j], before[j] = more, at
+                    if step is None or slack[j] < step:
+                        step, to = slack[j], j
+            for j in range(m + 1):
+                if seen[j]:
+                    up[row_of[j]] += step
+                    left[j] -= step
+                elif slack[j] is not None:
+                    slack[j] -= step
+            at = to
+        while at:
+            row_of[at] = row_of[before[at]]
+            at = before[at]
+    out = [0] * n
+    for j in range(1, m + 1):
+        if row_of[j]:
+            out[row_of[j] - 1] = j - 1
+    return out
+
+
 def best_matching(truth: list[tuple[int, int]], found: list[tuple[int, int]]) -> list[tuple[int, int, float]]:
-    """One-to-one pairs of greatest total overlap, the first found among equals; an error for more than MAX_SPANS a side."""
-    if max(len(truth), len(found)) > MAX_SPANS:
-        raise ValueError(f"more than {MAX_SPANS} spans of one type: {len(truth)} and {len(found)}")
-    n = min(len(truth), len(found))
-    score = {(i, j): _overlap(a, b) for i, a in enumerate(truth) for j, b in enumerate(found)}
-    options = ([*zip(rows, cols, strict=True)] for rows in itertools.permutations(range(len(truth)), n) for cols in itertools.permutations(range(len(found)), n))
-    best = max(options, key=lambda pairs: sum(score[p] for p in pairs), default=[])
-    return [(i, j, score[i, j]) for i, j in best]
+    """One-to-one pairs of greatest total overlap, as many as the shorter side has.
+
+    Among equal totals (to 12 places) those of the earlier true spans win, then those that give these the earlier found ones:
+    digits below the overlap's in one whole number, so that one assignment settles all.
+    """
+    t, f = len(truth), len(found)
+    if not t or not f:
+        return []
+    score = [[_overlap(a, b) for b in found] for a in truth]
+    columns = f**t
+    rows = columns << t
+    gain = [[round(score[i][j] * 10**12) * rows + (1 << (t - 1 - i)) * columns + (f - 1 - j) * f ** (t - 1 - i) for j in range(f)] for i in range(t)]
+    if t <= f:
+        pairs = list(enumerate(assignment([[-x for x in row] for row in gain])))
+    else:
+        pairs = sorted((i, j) for j, i in enumerate(assignment([[-gain[i][j] for i in range(t)] for j in range(f)])))
+    return [(i, j, score[i][j]) for i, j in pairs]
 
 
 def match_spans(truth: DataFrame, found: DataFrame) -> DataFrame:

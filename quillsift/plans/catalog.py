@@ -615,7 +615,7 @@ def span_iou(spark: SparkSession, d: str) -> DataFrame:
 
 def _few(spark: SparkSession, d: str, flag: str) -> DataFrame:
     s = spark_view(spark, d, X.SPANS).filter(flag)
-    return s.select(F.xxhash64("candidate", "e", "s").alias("candidate"), "type", F.col("s").alias("start"), F.col("e").alias("end")).distinct()
+    return s.select("candidate", "type", F.col("s").alias("start"), F.col("e").alias("end")).distinct()
 
 
 @query("span_quality")
@@ -699,6 +699,51 @@ def baseline_histogram(spark: SparkSession, d: str) -> DataFrame:
     return metrics.histogram(engines(spark, d), "engine", "verdict")
 
 
+# ---- drawing the hold-out set -----------------------------------------------------------------------------------------
+
+POOL = """SELECT doc_id, lang, CASE doc_id % 9 WHEN 0 THEN 'stayfriends.de' WHEN 1 THEN NULL ELSE concat(source, '.example.com') END AS from_domain,
+  CASE doc_id % 7 WHEN 0 THEN TRUE WHEN 1 THEN NULL ELSE FALSE END AS is_spam_not_phishing,
+  CASE doc_id % 5 WHEN 0 THEN concat('no strong spam-topic match but also no confirmed brand/credential/urgency phishing signal', '; checked') WHEN 1 THEN NULL ELSE 'brand impersonation' END AS spam_reason,
+  CASE doc_id % 4 WHEN 0 THEN 'phishing' ELSE 'legitimate' END AS label, CASE doc_id % 3 WHEN 0 THEN 'Phishing' WHEN 1 THEN 'Muhtemel Phishing' ELSE 'G' END AS verdict,
+  CASE doc_id % 11 WHEN 0 THEN 'Vous AVEZ \u00c9T\u00c9 choisi pour recevoir un cadeau de notre magasin' WHEN 1 THEN 'A breakthrough morning ritual that doctors keep to themselves'
+    WHEN 2 THEN '   ' WHEN 3 THEN NULL ELSE 'Please confirm the delivery of your parcel at the usual place today' END AS body_text FROM {documents}"""
+
+
+@query("pool_filter", f"""SELECT doc_id FROM {sql(POOL)} AS p WHERE doc_id % 13 <> 0 AND NOT coalesce(is_spam_not_phishing, FALSE) AND coalesce(from_domain, '') <> 'stayfriends.de'
+  AND doc_id % 11 NOT IN (0, 1, 2, 3) AND NOT starts_with(coalesce(spam_reason, ''), 'no strong spam-topic match')""")
+def pool_filter(spark: SparkSession, d: str) -> DataFrame:
+    pool = spark_view(spark, d, POOL)
+    return corpus.pool_filter(pool, pool.filter(F.col("doc_id") % 13 == 0), "doc_id").select("doc_id")
+
+
+@query("facts_with_paths", "SELECT doc_id, lang, source || '/' || doc_id || '.eml' AS path FROM documents WHERE doc_id % 5 <> 0")
+def facts_with_paths(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    sample = docs.select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".eml")).alias("path"))
+    return corpus.with_paths(docs.filter("doc_id % 5 <> 0").select("doc_id", "lang"), sample, "doc_id")
+
+
+_MAILED = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Tue, 05 Mar 2024 10:00:00 +0000' WHEN 1 THEN 'Wed, 7 Aug 2019 01:02:03 +0200' ELSE 'Tue, 31 Dec 2024 23:59:59 -0500' END AS date,
+  CASE doc_id % 3 WHEN 0 THEN 'mx; spf=pass' WHEN 1 THEN '' END AS auth FROM {documents}"""
+
+
+@query("strata_keys", f"""SELECT CASE doc_id % 4 WHEN 0 THEN '2024-Mar' WHEN 1 THEN '2019-Aug' ELSE '2024-Dec' END AS year_month, doc_id % 3 = 0 AS has_auth, count(*)::BIGINT AS n FROM {sql(_MAILED)} AS m GROUP BY 1, 2""")
+def strata_keys(spark: SparkSession, d: str) -> DataFrame:
+    m = spark_view(spark, d, _MAILED).select(corpus.strata_key(F.col("date"), F.col("auth")).alias("s"))
+    return m.groupBy("s.year_month", "s.has_auth").agg(F.count("*").alias("n"))
+
+
+_TURN = f"SELECT *, row_number() OVER (PARTITION BY label, verdict ORDER BY doc_id) AS turn FROM {sql(POOL)} AS p WHERE doc_id % 6 <> 0"
+
+
+@query("balanced_review_set", f"SELECT doc_id, label, verdict FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY turn, verdict) AS place FROM ({_TURN}) AS t) AS r WHERE place <= 12")
+def balanced_review_set(spark: SparkSession, d: str) -> DataFrame:
+    pool = spark_view(spark, d, POOL)
+    rows = corpus.exclude(pool, "doc_id", pool.filter("doc_id % 6 = 0"))
+    picked = corpus.balanced_pick(rows, "label", {"phishing": 12, "legitimate": 12}, "verdict", F.col("doc_id"), F.col("verdict"))
+    return corpus.checked_pick(picked, "doc_id", pool.filter("doc_id % 6 = 0")).select("doc_id", "label", "verdict")
+
+
 # ---- whole workflow over messages built from documents ----------------------------------------------------------------
 
 

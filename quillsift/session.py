@@ -6,7 +6,7 @@ import pathlib
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED = "quillsift.shipped"
 
@@ -23,3 +23,15 @@ def ship(spark: SparkSession | None = None) -> None:
             z.write(p, p.relative_to(here.parent))
     spark.sparkContext.addPyFile(str(out))  # Spark's own file server takes it from the driver
     spark.conf.set(_SHIPPED, "true")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the folder that the session names: what two readers must see alike is evaluated once."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillsift-"))
+    return df.checkpoint()
