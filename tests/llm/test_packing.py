@@ -69,7 +69,7 @@ def test_shards_together_come_near_the_bound(spark):
     items = spark.createDataFrame(list(enumerate(sizes)), "uid long, n int").withColumn("bin", F.lit(None).cast("long"))
     alone = -(-sum(sizes) // 1024)
     one = len(P.best_fit_decreasing(sizes, list(range(3000)), [], 1024))
-    for shard in (150, 1):
+    for shard in (150, 700):
         rows = P.packed_items(items, shard=shard).collect()
         assert sorted(r.u for r in rows) == list(range(3000))
         bins = defaultdict(list)
@@ -81,7 +81,7 @@ def test_shards_together_come_near_the_bound(spark):
                 assert r.offset == at
                 at += sizes[r.u]
             assert at <= 1024
-        if shard == 150:
+        if shard:
             assert alone <= len(bins) <= one + 1, (alone, len(bins), one)  # one: a single task over all items
 
 
