@@ -65,6 +65,11 @@ def staged(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> Dat
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files that no plan refers to any more: Spark deletes them once the driver has collected its garbage."""
+    spark._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

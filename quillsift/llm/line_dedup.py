@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import NOT_SPACE, let, packed, row_key, stage, staged
+from quillsift.llm.common import NOT_SPACE, let, packed, release, row_key, stage, staged
 
 PER, MOST = 40, 2
 MIN_CHARS = 20
@@ -64,7 +64,7 @@ def segment_keys(line: Column, n: Column, per: int = PER, most: int = MOST) -> C
             cut = lambda i: (i * grid / (p["k"] + 1)).cast("int")
             return let(cut(p["i"]), lambda at: F.xxhash64(grid, p["i"], F.substr(wide, 4 * (at + p["shift"]) + 1, 4 * (cut(p["i"] + 1) - at))))
 
-        return F.array_distinct(F.transform(some, key))
+        return F.transform(some, key)
 
     # four bytes a character: a substring costs its own length, not that of all that stands before it
     return let(F.encode(line, "UTF-32"), keyed)
@@ -181,8 +181,10 @@ def near_lines(lines: DataFrame, per: int = PER, most: int = MOST) -> DataFrame:
     keyed = lines.select("h", F.explode(segment_keys(F.col("line"), F.col("n"), per, most)).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y"), F.count("*").alias("c")).filter("x < y")
     shared = stage(shared, "lines-keys")
+    release(lines.sparkSession)
     two = shared.filter("c = 2").select("x", "y").distinct()
     held = stage(keyed.join(shared.filter("c > 2").select("key"), "key").select("key", "h"), "lines-groups")
+    release(lines.sparkSession)
     some = two.select(F.explode(F.array("x", "y")).alias("h")).unionByName(held.select("h")).distinct()
     own = F.struct("first", "n", parities(F.col("line")).alias("bits"))
     known = stage(lines.join(some, "h").select("h", own.alias("own"), "line"), "lines-candidates")
@@ -206,7 +208,10 @@ def removed_lines(docs: DataFrame, per: int = PER, most: int = MOST) -> DataFram
     firsts = occ.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "k", "i")).alias("first"), F.count("*").alias("c"), F.min("n").alias("n"))
     firsts = stage(firsts, "lines-first")
     again = occ.select("h", "h2", "k", "doc_id", "i").join(firsts.filter("c > 1").select("h", "h2", "first"), ["h", "h2"]).filter(~F.struct("doc_id", "k", "i").eqNullSafe(F.col("first")))
-    near = stage(near_lines(stage(_distinct_lines(docs, firsts), "lines-texts"), per, most), "lines-near")
+    lines = stage(_distinct_lines(docs, firsts), "lines-texts")
+    release(docs.sparkSession)
+    near = staged(docs.sparkSession, "lines-near", lambda: near_lines(lines, per, most))
+    release(docs.sparkSession)
     gone = again.select("k", "i").unionByName(occ.join(near, "h").select("k", "i"))
     return gone.groupBy("k").agg(F.collect_set("i").alias("gone"))
 
