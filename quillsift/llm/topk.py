@@ -2,14 +2,15 @@
 
 Vectors are quantised to floor(256 * x). Rows are packed into blocks of bounded size where they lie; the stated queries
 are packed likewise and dealt to every block by an equi-join of blocks. In a block each dimension is a list sorted by
-value; a query reads all its lists in step, from the end that its sign prefers. What has been read of a vector gives a
-lower bound of its score (lists not yet read count with their least value) and an upper bound (with the list's current
-value). Reading stops when no vector that has not been seen can reach the k-th lower bound and few of the seen ones can;
-final scores are then resolved for those. Blocks' best are merged by rank. All queries of a block read in step, so that
-the bounds of one depth are a few matrix products.
+value; a query reads all its lists in step, from the end that its sign prefers, the next STEPS-th part at a time. What has
+been read of a vector gives a lower bound of its score (lists in which it was not met count with their least value) and an
+upper bound (with the list's current value). After each part a query stops if no vector that it has not met can reach the
+k-th lower bound and few of the others can; final scores are then resolved for those. Blocks' best are merged by rank. The
+queries of a block read together, so that the bounds after a part are a few matrix products; `Lists.read` has what share of
+the lists each of them read.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; shorter vectors are filled
-with zeros; rows that repeat a vec_id count once, with the best of their vectors; a vec_id asked with several vectors keeps its best scores of all; an empty table gives no rows. Integers are exact up to 64 bits.
+with zeros; rows that repeat a vec_id count once, with the best of their vectors; a vec_id asked with several vectors keeps its best scores of all; an empty table gives no rows; extra columns, also such with clashing names, are ignored. Integers are exact up to 64 bits.
 """
 
 from __future__ import annotations
@@ -25,11 +26,10 @@ from pyspark.sql import functions as F
 from quillsift.llm.common import arrow_batches, stage
 
 BLOCK, QUERIES = 4096, 1024
-SPREAD = 16
 SCALE = 256
-#: Shares of the lists after which bounds are looked at.
-READS = (0.4, 0.55, 0.75)
-_BLOCK = "n long, dim int, ids binary, data binary"
+#: Parts that lists are read in, and the share of vectors that may be left when reading stops.
+STEPS, OPEN = 16, 1 / 8
+_BLOCK = "n long, dim int, ids binary, data binary, width int"
 
 
 def _quantised(ids: list, vectors: list) -> tuple[np.ndarray, np.ndarray]:
@@ -56,8 +56,9 @@ def _packs(size: int):
 
         def out(m: int) -> pa.RecordBatch:
             a, x = _quantised(ids[:m], rows[:m])
+            x = narrowest(x)
             del ids[:m], rows[:m]
-            return pa.RecordBatch.from_arrays([pa.array([len(a)], pa.int64()), pa.array([x.shape[1]], pa.int32()), pa.array([a.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["n", "dim", "ids", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([len(a)], pa.int64()), pa.array([x.shape[1]], pa.int32()), pa.array([a.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([x.itemsize], pa.int32())], names=["n", "dim", "ids", "data", "width"])
 
         for b in batches:
             ids += b.column(0).to_pylist()
@@ -71,65 +72,87 @@ def _packs(size: int):
 
 
 class Lists:
-    """A block's sorted lists: places of every vector in each dimension's order, and the values in that order."""
+    """A block's sorted lists: for each dimension the rows by rising value. Rows are in order of their ids."""
 
     def __init__(self, ids: np.ndarray, data: np.ndarray):
         first: dict[tuple[int, bytes], int] = {}
         for i, (own, v) in enumerate(zip(ids.tolist(), data, strict=True)):
             first.setdefault((own, v.tobytes()), i)
-        keep = np.array(sorted(first.values()), int)
+        keep = np.array(sorted(first.values(), key=lambda i: ids[i]), int)
         self.ids, self.data = ids[keep], data[keep]
-        self.sorted = np.sort(self.data, axis=0)
-        self.place = np.argsort(np.argsort(self.data, axis=0, kind="stable"), axis=0, kind="stable")
-        self.unique = len(np.unique(self.ids)) == len(self.ids)
+        self.order = np.argsort(self.data, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(self.data, self.order, 0)
+        self.starts = np.flatnonzero(np.r_[True, self.ids[1:] != self.ids[:-1]]) if len(keep) else np.empty(0, int)
+        self.read = np.empty(0)
 
-    def top(self, owns: np.ndarray, queries: np.ndarray, floors: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
-        """For each query (score, vec_id) of the best k distinct ids but its own; scores under its floor may be left out.
-
-        All queries read in step. After `depth` entries from the high end (for positive weights) or the low end (for
-        negative ones), what is read of a list is exact; the rest lies between the list's last and its current value.
-        """
+    def candidates(self, owns: np.ndarray, queries: np.ndarray, floors: np.ndarray, k: int) -> list[np.ndarray]:
+        """For each query the rows that may be among its best k distinct ids, by reading the lists as far as that needs."""
         n, d = self.data.shape
         most = d * int(np.abs(self.data).max(initial=0)) * int(np.abs(queries).max(initial=0))
-        kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else None  # exact sums, or none of bounds
-        x = self.data.astype(kind or np.float64)
-        plus, minus = np.maximum(queries, 0).T.astype(x.dtype), np.minimum(queries, 0).T.astype(x.dtype)
-        left = np.arange(len(queries))
-        cands: list[np.ndarray] = [np.arange(n)] * len(queries)
-        for share in READS if kind and self.unique and n > 8 * k else ():
-            depth = min(int(n * share), n - 1)
-            high_read, low_read = self.place >= n - depth, self.place < depth
+        kind = np.float32 if most < 1 << 24 else np.float64
+        slack = 0.0 if most < 1 << 53 else most * 2.0**-45  # beyond that, sums are rounded
+        plus, minus = np.maximum(queries, 0).T.astype(kind), np.minimum(queries, 0).T.astype(kind)
+        least, largest = self.sorted[0].astype(kind)[:, None], self.sorted[-1].astype(kind)[:, None]
+        # what was met: a mark and the value, in the lists read from their high and from their low ends
+        high_met, high_read, low_met, low_read = (np.zeros((n, d), kind) for _ in range(4))
+        columns = np.arange(d)[None]
+        left, depth = np.arange(len(queries)), 0
+        out: list[np.ndarray] = [np.arange(n)] * len(queries)
+        self.read = np.ones(len(queries))
+        for step in range(1, STEPS + 1):
+            to = n * step // STEPS
+            for rows, met, read in ((self.order[n - to : n - depth], high_met, high_read), (self.order[depth:to], low_met, low_read)):
+                met[rows, columns] = 1
+                read[rows, columns] = self.data[rows, columns]
+            depth = to
             up, down = plus[:, left], minus[:, left]
-            ends = self.sorted[0].astype(x.dtype), self.sorted[-1].astype(x.dtype)
-            now = self.sorted[n - 1 - depth].astype(x.dtype), self.sorted[depth].astype(x.dtype)
-            low = np.where(high_read, x, ends[0]) @ up + np.where(low_read, x, ends[1]) @ down
-            high = np.where(high_read, x, now[0]) @ up + np.where(low_read, x, now[1]) @ down
-            unseen = now[0] @ up + now[1] @ down
+            exact = high_read @ up + low_read @ down
+
+            def bounds(a: np.ndarray, b: np.ndarray, up: np.ndarray = up, down: np.ndarray = down, exact: np.ndarray = exact) -> tuple[np.ndarray, np.ndarray]:
+                """(scores of all rows with a and b for what was not met, the score of a row that was met nowhere)."""
+                unmet = (a * up).sum(0) + (b * down).sum(0)
+                return exact + (unmet - high_met @ (a * up) - low_met @ (b * down)), unmet
+
+            low = bounds(least, largest)[0] - slack
             low[self.ids[:, None] == owns[left][None]] = -np.inf
-            bound = np.maximum(np.partition(low, n - k, 0)[n - k], floors[left])
-            open_ = (high >= bound).T
-            done = (unseen < bound) & ((open_.sum(1) <= n // 6) | (share == READS[-1]))
+            by_id = np.maximum.reduceat(low, self.starts, 0)
+            kth = np.partition(by_id, len(by_id) - k, 0)[len(by_id) - k] if len(by_id) >= k else np.full(len(left), -np.inf)
+            kth = np.maximum(kth, floors[left])
+            now = (self.sorted[max(n - 1 - depth, 0)].astype(kind)[:, None], self.sorted[min(depth, n - 1)].astype(kind)[:, None])
+            high, unmet = bounds(*now)
+            open_ = (high + slack >= kth).T
+            done = ((unmet + slack < kth) & (open_.sum(1) <= n * OPEN)) | (depth == n)
             for j in np.flatnonzero(done):
-                cands[left[j]] = np.flatnonzero(open_[j])
+                out[left[j]] = np.flatnonzero(open_[j])
+                self.read[left[j]] = step / STEPS
             left = left[~done]
             if not len(left):
                 break
+        return out
+
+    def top(self, owns: np.ndarray, queries: np.ndarray, floors: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+        """For each query (score, vec_id) of the best k distinct ids but its own; scores under its floor may be left out."""
+        if not len(self.ids):
+            return [[]] * len(queries)
         out = []
-        for own, q, c in zip(owns.tolist(), queries, cands, strict=True):
+        for own, q, c in zip(owns.tolist(), queries, self.candidates(owns, queries, floors, k), strict=True):
             c = c[self.ids[c] != own]
             scores = self.data[c] @ q  # final scores of those that remain
-            if len(c) > 64 and self.unique:
-                c = c[keep := scores >= np.partition(scores, len(c) - k)[len(c) - k]]
-                scores = scores[keep]
             best: dict[int, int] = {}
-            for s, i in sorted(zip((-scores).tolist(), self.ids[c].tolist(), strict=True)):
-                best.setdefault(i, -s)
+            for at in np.lexsort((self.ids[c], -scores)):
+                best.setdefault(int(self.ids[c[at]]), int(scores[at]))
                 if len(best) == k:
                     break
             out.append([(s, i) for i, s in best.items()])
         return out
 
 
+def narrowest(x: np.ndarray) -> np.ndarray:
+    """x in the smallest integer type that holds it."""
+    most = int(np.abs(x).max(initial=0))
+    return x.astype(next(t for t in (np.int8, np.int16, np.int32, np.int64) if most <= np.iinfo(t).max))
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the best k of vectors (vec_id, embedding) for each of queries (same columns)."""
     spark = vectors.sparkSession
@@ -141,17 +164,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     asked = asked.repartition(parts).mapInArrow(_packs(QUERIES), _BLOCK).filter("n > 0")
     asked = stage(asked.withColumn("g", F.spark_partition_id()), "topk-queries")
     # every query block meets every block; the key of a meeting is (query block, slice of blocks)
-    left = blocks.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SPREAD)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = asked.select("g", F.col("dim").alias("qdim"), F.col("ids").alias("qids"), F.col("data").alias("qdata")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    pairs = left.join(right, ["g", "s"]).select("dim", "ids", "data", "qdim", "qids", "qdata")
+    spread = max(1, blocks.count())  # a slice holds about one block, however many there are
+    left = blocks.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(spread)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = asked.select("g", F.col("dim").alias("qdim"), F.col("ids").alias("qids"), F.col("data").alias("qdata"), F.col("width").alias("qwidth")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    pairs = left.join(right, ["g", "s"]).select("dim", "ids", "data", "width", "qdim", "qids", "qdata", "qwidth")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple[int, bytes], dict[int, int]] = {}  # each query's best so far, over the blocks of this task
         for b in batches:
             for r in b.to_pylist():
                 ids, qids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["qids"], np.int64)
-                data = np.frombuffer(r["data"], np.int64).reshape(len(ids), -1)
-                q = np.frombuffer(r["qdata"], np.int64).reshape(len(qids), -1)
+                data = np.frombuffer(r["data"], f"i{r['width']}").astype(np.int64).reshape(len(ids), -1)
+                q = np.frombuffer(r["qdata"], f"i{r['qwidth']}").astype(np.int64).reshape(len(qids), -1)
                 d = max(r["dim"], r["qdim"])
                 lists = Lists(ids, np.pad(data, ((0, 0), (0, d - data.shape[1]))))
                 q = np.pad(q, ((0, 0), (0, d - q.shape[1])))
