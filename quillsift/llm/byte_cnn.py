@@ -3,9 +3,13 @@
 A document is cut into blocks of BLOCK bytes; two neighbouring blocks make a chunk, so chunks overlap by half and cover
 the whole text. Learned filters of WIDTH bytes slide over a fixed encoding of the bytes; a chunk keeps each filter's
 highest and lowest answer (max-pooling of both signs), a dense layer makes hidden values of them, and their highest and
-mean values over all chunks give one probability. Fitting uses at most MAX_TRAINING labelled rows, a few chunks of each
-per round; scoring reads every byte. Null and empty texts are one block of padding. Without labels of both kinds the
-score is their share.
+mean values over all chunks give one probability. Fitting uses at most MAX_TRAINING labelled rows of MAX_BYTES bytes in all,
+each a whole text, of which every round draws CHUNKS chunks anew; scoring reads every byte, in slices of bounded size within
+a text too.
+
+Defined results: null and empty texts are one block of padding; NUL bytes count as padding; without labels of both kinds the
+score is their share; a doc_id that documents repeat is learnt from once, by its least text, and each of its rows is scored; an
+empty table gives an empty result; extra columns, also such with clashing names, are ignored.
 """
 
 from __future__ import annotations
@@ -17,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import arrow_batches, held_out
+from quillsift.llm.common import arrow_batches, held_out, stage
 from quillsift.llm.labelled import training_rows
 
-MAX_TRAINING = 6_000
+MAX_TRAINING, MAX_BYTES = 6_000, 96 << 20
 WIDTH, STRIDE, BLOCK = 8, 4, 256
 FILTERS, HIDDEN = 24, 16
 ROUNDS, BATCH, CHUNKS = 12, 128, 4
@@ -42,8 +46,8 @@ def encoding(seed: int = SEED) -> np.ndarray:
 
 
 def padded(raw: bytes) -> np.ndarray:
-    """Bytes in whole blocks, one at least."""
-    n = max(-(-len(raw) // BLOCK), 1)
+    """Bytes in whole blocks, with padding after them: the last window must not read on into another text."""
+    n = -(-(len(raw) + WIDTH - STRIDE) // BLOCK)
     out = np.zeros(n * BLOCK, np.uint8)
     out[: len(raw)] = np.frombuffer(raw, np.uint8)
     return out
@@ -67,6 +71,13 @@ class Network:
 
     def pooled(self, data: np.ndarray) -> np.ndarray:
         """(blocks, 2 * FILTERS): highest answers and negated lowest ones of each block; padding windows don't count."""
+        if len(data) > SLICE:
+            # blocks are pooled alone; a window reads on into the bytes after its block
+            parts = [np.concatenate([data[at : at + SLICE], data[at + SLICE : at + SLICE + BLOCK]]) for at in range(0, len(data), SLICE)]
+            return np.concatenate([self._pooled(x)[: SLICE // BLOCK] for x in parts])
+        return self._pooled(data)
+
+    def _pooled(self, data: np.ndarray) -> np.ndarray:
         a = np.tanh(self.windows(data) @ self.w["f"] + self.w["fb"]).reshape(-1, PER_BLOCK, FILTERS)
         off = (data[::STRIDE] == 0).reshape(-1, PER_BLOCK)
         off[:, 0] = False
@@ -174,9 +185,13 @@ class Model:
         return self.network.score(texts) if self.network else np.full(len(texts), self.share)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAINING, size: int = MAX_BYTES) -> Model:
     """A model of labels.quality."""
-    got = training_rows(docs, labels, "quality", most).select("doc_id", "text", "label").toArrow()
+    some = training_rows(docs, labels, "quality", most).groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    some = stage(some, "cnn-rows")
+    sizes = some.select("doc_id", F.octet_length("text").alias("n"), F.xxhash64("doc_id", F.lit(SEED)).alias("h")).toPandas().sort_values(["h", "doc_id"])
+    fits = sizes[sizes.n.cumsum() <= size].doc_id.tolist()  # bounded like the rows
+    got = some.join(F.broadcast(some.sparkSession.createDataFrame([(int(i),) for i in fits], "doc_id long")), "doc_id").select("doc_id", "text", "label").toArrow()
     rows = sorted(zip(*(c.to_pylist() for c in got.columns), strict=True))  # rows come in any order
     y = np.array([r[2] for r in rows], float)
     if len(np.unique(y)) < 2:

@@ -103,3 +103,39 @@ def test_gradient_matches_differences():
         down = loss()
         net.w[name][at] = old
         assert abs((up - down) / 2e-5 - g[name][at]) < 2e-3
+
+
+def by_loops(net, raw):
+    """A text's score, filter by filter and window by window."""
+    data = byte_cnn.padded(raw)
+    ahead = np.concatenate([data, np.zeros(byte_cnn.WIDTH, np.uint8)])
+    pools = []
+    for at in range(0, len(data), byte_cnn.BLOCK):
+        hi, lo = np.full(byte_cnn.FILTERS, -2.0), np.full(byte_cnn.FILTERS, -2.0)
+        for p in range(at, at + byte_cnn.BLOCK, byte_cnn.STRIDE):
+            if data[p] or p == at:
+                a = np.tanh(net.code[ahead[p : p + byte_cnn.WIDTH]].reshape(-1) @ net.w["f"] + net.w["fb"])
+                hi, lo = np.maximum(hi, a), np.maximum(lo, -a)
+        pools.append(np.concatenate([hi, lo]))
+    chunks = [np.maximum(p, q) for p, q in zip(pools, pools[1:], strict=False)] or pools
+    hidden = np.maximum(np.array(chunks) @ net.w["h"] + net.w["hb"], 0)
+    z = np.concatenate([hidden.max(0), hidden.mean(0)]) @ net.w["o"] + net.w["ob"][0]
+    return 1 / (1 + np.exp(-z))
+
+
+def test_scores_equal_loops_over_windows_also_in_slices(monkeypatch):
+    rng = random.Random(5)
+    net = byte_cnn.Network()
+    texts = [b"", b"a", b"x" * 256, b"y" * 257, "é ü 漢字".encode(), bytes(rng.choices(b"abc XYZ.,\n123", k=5000)), bytes(rng.choices(b"abc ", k=1024))]
+    want = [by_loops(net, t) for t in texts]
+    assert np.allclose(net.score(texts), want, atol=1e-5)
+    monkeypatch.setattr(byte_cnn, "SLICE", 4 * byte_cnn.BLOCK)
+    assert np.allclose(net.score(texts), want, atol=1e-5)
+
+
+def test_fitting_reads_bounded_bytes(spark):
+    rows, labels = data(200)
+    docs, known = frame(spark, rows + rows[:50]), spark.createDataFrame(labels, LABELS)
+    model = byte_cnn.fit(docs, known, size=20_000)
+    assert 0 < model.share < 1 and model.network is not None
+    assert byte_cnn.fit(docs, known, size=0).network is None
