@@ -239,11 +239,6 @@ def tree_links(members: list[Member], union: Union, test, guests: list[Member] |
             union.join(x.name, y.name)
             out.append((x.name, y.name))
 
-    if guests is None and len(members) <= FAN:
-        for j, y in enumerate(members):
-            for x in members[:j]:
-                meet(x, y)
-        return out
     key = lambda m: (m.at(256) & 0xFFFF, m.size)
     own = sorted(members, key=key)
     other = own if guests is None else sorted(guests, key=key)
