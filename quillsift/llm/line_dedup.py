@@ -9,7 +9,7 @@ Segments. A line of length l is cut into edits(l) + 1 segments of about equal le
 segment of the shorter line is whole in the other, shifted by no more than the edits on its left (and what the lengths leave
 to those on its right). So a line is indexed by its segments, and probes the grid of each length that a line it is near to may
 have with its substrings at these shifts: a fixed number of keys for each threshold (4, 12, 26 for 1, 2, 3 edits).
-Candidates. Lines are first made distinct. A key that two lines share gives one pair. In a larger group the first line is held
+Candidates. A key that two lines share gives one pair; texts are fetched once, for lines that share a key. In a larger group the first line is held
 against the others, which settles those near it; what is left are guests, which visit all earlier lines of their group in
 blocks of BLOCK. A group's lines differ in length by MOST at most, as the key holds the grid's length. Before texts are
 compared, parities of character pairs and of characters drop pairs that are provably too far apart. No near pair is left out.
@@ -156,9 +156,9 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return lines.select("k", "doc_id", "i", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(9), F.col("line")).alias("h2"), F.length("line").alias("n"))
 
 
-def _distinct_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(h, first, n, line): the distinct lines that are long enough to be near to others."""
-    places = firsts.filter(F.col("n") >= MIN_CHARS).groupBy("first.k").agg(F.collect_list(F.struct("h", "n", "first")).alias("wanted"))
+def _texts(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(h, first, n, line) of the distinct lines in firsts."""
+    places = firsts.groupBy("first.k").agg(F.collect_list(F.struct("h", "n", "first")).alias("wanted"))
     order = Window.partitionBy("k").orderBy("doc_id")
     once = docs.select("k", "doc_id", "text").withColumn("_r", F.row_number().over(order)).filter("_r = 1")  # identical rows share k
     texts = _once(once.select("k", "text").join(places, "k"), "s", F.split("text", "\n"))
@@ -176,19 +176,22 @@ def _later(pairs: DataFrame, lines: DataFrame, per: int, most: int) -> DataFrame
     return near_enough(both, per, most).select("h").distinct()
 
 
-def near_lines(lines: DataFrame, per: int = PER, most: int = MOST) -> DataFrame:
-    """(h) of the distinct lines (h, first, n, line) that have an earlier one within their edits."""
-    keyed = lines.select("h", F.explode(segment_keys(F.col("line"), F.col("n"), per, most)).alias("key"))
+def near_lines(docs: DataFrame, firsts: DataFrame, per: int = PER, most: int = MOST) -> DataFrame:
+    """(h) of the lines of docs (k, doc_id, text) that have an earlier one within their edits; firsts has each line's first place."""
+    spark = docs.sparkSession
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).withColumn("n", F.length("line")).filter((F.col("n") >= MIN_CHARS) & has_word(F.col("line")))
+    keyed = lines.select(F.xxhash64("line").alias("h"), F.explode(segment_keys(F.col("line"), F.col("n"), per, most)).alias("key"))
+    # rows of a repeated line count each, so that a pair is told apart only where neither line is repeated
     shared = keyed.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y"), F.count("*").alias("c")).filter("x < y")
     shared = stage(shared, "lines-keys")
-    release(lines.sparkSession)
+    release(spark)
     two = shared.filter("c = 2").select("x", "y").distinct()
-    held = stage(keyed.join(shared.filter("c > 2").select("key"), "key").select("key", "h"), "lines-groups")
-    release(lines.sparkSession)
+    held = stage(keyed.join(shared.filter("c > 2").select("key"), "key").select("key", "h").distinct(), "lines-groups")
+    release(spark)
     some = two.select(F.explode(F.array("x", "y")).alias("h")).unionByName(held.select("h")).distinct()
     own = F.struct("first", "n", parities(F.col("line")).alias("bits"))
-    known = stage(lines.join(some, "h").select("h", own.alias("own"), "line"), "lines-candidates")
-    release(lines.sparkSession)
+    known = stage(_texts(docs, firsts.join(some, "h")).select("h", own.alias("own"), "line"), "lines-candidates")
+    release(spark)
     held = stage(held.join(known.select("h", "own"), "h"), "lines-held")
     lead = held.groupBy("key").agg(F.min(F.struct("own.first", "h", "own")).alias("lead"), F.count("*").alias("m"))
     lead = stage(lead.select("key", F.col("lead.h").alias("x"), F.col("lead.own").alias("ox"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "lines-leads")
@@ -209,9 +212,7 @@ def removed_lines(docs: DataFrame, per: int = PER, most: int = MOST) -> DataFram
     firsts = occ.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "k", "i")).alias("first"), F.count("*").alias("c"), F.min("n").alias("n"))
     firsts = stage(firsts, "lines-first")
     again = occ.select("h", "h2", "k", "doc_id", "i").join(firsts.filter("c > 1").select("h", "h2", "first"), ["h", "h2"]).filter(~F.struct("doc_id", "k", "i").eqNullSafe(F.col("first")))
-    lines = stage(_distinct_lines(docs, firsts), "lines-texts")
-    release(docs.sparkSession)
-    near = staged(docs.sparkSession, "lines-near", lambda: near_lines(lines, per, most))
+    near = staged(docs.sparkSession, "lines-near", lambda: near_lines(docs, firsts, per, most))
     release(docs.sparkSession)
     gone = again.select("k", "i").unionByName(occ.join(near, "h").select("k", "i"))
     return gone.groupBy("k").agg(F.collect_set("i").alias("gone"))
