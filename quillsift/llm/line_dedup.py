@@ -186,11 +186,12 @@ def near_lines(docs: DataFrame, firsts: DataFrame, per: int = PER, most: int = M
     shared = stage(shared, "lines-keys")
     release(spark)
     two = shared.filter("c = 2").select("x", "y").distinct()
-    held = stage(keyed.join(shared.filter("c > 2").select("key"), "key").select("key", "h").distinct(), "lines-groups")
+    # the keys have no bound, so they are never broadcast; a merge join's hot keys can be split
+    held = stage(keyed.join(shared.filter("c > 2").select("key").hint("merge"), "key").select("key", "h").distinct(), "lines-groups")
     release(spark)
     some = two.select(F.explode(F.array("x", "y")).alias("h")).unionByName(held.select("h")).distinct()
     own = F.struct("first", "n", parities(F.col("line")).alias("bits"))
-    known = stage(_texts(docs, firsts.join(some, "h")).select("h", own.alias("own"), "line"), "lines-candidates")
+    known = stage(_texts(docs, firsts.join(some.hint("merge"), "h")).select("h", own.alias("own"), "line"), "lines-candidates")
     release(spark)
     held = stage(held.join(known.select("h", "own"), "h"), "lines-held")
     lead = held.groupBy("key").agg(F.min(F.struct("own.first", "h", "own")).alias("lead"), F.count("*").alias("m"))
