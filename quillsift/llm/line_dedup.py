@@ -62,7 +62,7 @@ def segment_keys(line: Column, n: Column, per: int = PER, most: int = MOST) -> C
         def key(p: Column) -> Column:
             grid = n - p["longer"]
             cut = lambda i: (i * grid / (p["k"] + 1)).cast("int")
-            return let(cut(p["i"]), lambda at: F.xxhash64(grid, p["i"], F.substr(wide, 4 * (at + p["shift"]) + 1, 4 * (cut(p["i"] + 1) - at))))
+            return F.xxhash64(grid, p["i"], F.substr(wide, 4 * (cut(p["i"]) + p["shift"]) + 1, 4 * (cut(p["i"] + 1) - cut(p["i"]))))
 
         return F.transform(some, key)
 
