@@ -139,27 +139,44 @@ URGENT = ("24 hours", "expire", "expires", "expiring", "immediately", "urgent",
 REASONS = ("brand_impersonation", "credential_request", "advance_fee", "urgency_and_link", "spam_topic", "boilerplate_confirm", "unspecific_credential", "marketing", "low_signal", "default_phishing")
 
 
-def _hit(text: Column, pattern: str) -> Column:
+_W = "(?-iu:[0-9A-Za-z_])"
+_EDGE = f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
+
+
+def _ascii(pattern: str, flags: str) -> str:
+    """A pattern as SQL engines on RE2 read it: words are ASCII, and a dot takes all but \\n."""
+    return f"(?{flags}d)" + pattern.replace(r"\b", _EDGE)
+
+
+def _hit(text: Column, pattern: str, ascii_words: bool = False) -> Column:
+    if ascii_words:  # (?iu) alone takes these two letters for an i
+        return F.coalesce(F.translate(text, "\u0131\u0130", "\u00e9\u00e9").rlike(_ascii(pattern, "iu")), F.lit(False))
     return F.coalesce(text.rlike("(?iuU)" + pattern), F.lit(False))
 
 
-def brand_hit(text: Column, from_domain: Column) -> Column:
+def _lower(text: Column, ascii_words: bool) -> Column:
+    return F.lower(F.translate(text, "\u0130", "i")) if ascii_words else F.lower(text)
+
+
+def brand_hit(text: Column, from_domain: Column, ascii_words: bool = False) -> Column:
     """The first brand named as a word in text, look-alike characters included, that the sender's domain does not own."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    norm = normalize_homoglyphs(F.coalesce(text, F.lit("")))
+    low = _lower(F.coalesce(text, F.lit("")), ascii_words)
+    norm = normalize_homoglyphs(low)
     root = domain_root(from_domain)
+    word = lambda t, b: t.rlike(_ascii(rf"\b{re.escape(b)}\b", "")) if ascii_words else _hit(t, rf"\b{re.escape(b)}\b")
     table = str.maketrans("l10534@", "iioseaa")
     found = []
     for brand, domains in BRAND_DOMAINS.items():
         roots = sorted({".".join(d.split(".")[-2:]) for d in domains.split()})
-        named = _hit(low, rf"\b{re.escape(brand)}\b") | _hit(norm, rf"\b{re.escape(brand.translate(table))}\b")
+        named = word(low, brand) | word(norm, brand.translate(table))
         found.append(F.when(named & ~F.coalesce(root.isin(roots), F.lit(False)), F.lit(brand)))
     return F.get(F.filter(F.array(*found), lambda b: b.isNotNull()), F.lit(0))
 
 
-def classify(df: DataFrame) -> DataFrame:
+def classify(df: DataFrame, ascii_words: bool = False) -> DataFrame:
     """df with likely_spam and spam_reason (one of REASONS), and brand for the first.
 
+    Words end where Unicode ends them ("itauö" is one word, and no brand), or with ascii_words at every letter beyond ASCII.
     Reads subject, display_name, from_domain, body_text, n_urls, claims_attachment, credential_request, urgency (array of keywords).
     """
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
@@ -169,8 +186,9 @@ def classify(df: DataFrame) -> DataFrame:
     topics, asks = "|".join(SPAM_TOPICS), "|".join(CREDENTIAL)
     out = df.withColumn("_h", head).withColumn("_s", start).withColumn("_w", whole)
     h, s, w = F.col("_h"), F.col("_s"), F.col("_w")
-    brand = F.coalesce(brand_hit(h, F.col("from_domain")), brand_hit(s, F.col("from_domain")))
-    out = out.withColumn("brand", brand).withColumn("_topic", _hit(h, topics) | _hit(s, topics)).withColumn("_ask", _hit(h, asks) | _hit(s, asks) | _hit(normalize_homoglyphs(h), asks))
+    hit = lambda t, pattern: _hit(t, pattern, ascii_words)
+    brand = F.coalesce(brand_hit(h, F.col("from_domain"), ascii_words), brand_hit(s, F.col("from_domain"), ascii_words))
+    out = out.withColumn("brand", brand).withColumn("_topic", hit(h, topics) | hit(s, topics)).withColumn("_ask", hit(h, asks) | hit(s, asks) | hit(normalize_homoglyphs(_lower(h, ascii_words)), asks))
     topic, ask, branded = F.col("_topic"), F.col("_ask"), F.col("brand").isNotNull()
     link = F.coalesce(F.col("n_urls") > 0, F.lit(False))
     asked = F.coalesce(F.col("credential_request"), F.lit(False))
@@ -178,9 +196,9 @@ def classify(df: DataFrame) -> DataFrame:
     words = F.coalesce(F.transform("urgency", F.lower), F.array().cast("array<string>"))
     pressed = F.arrays_overlap(words, F.array(*map(F.lit, URGENT)))
     ladder = (
-        F.when(branded, REASONS[0]).when(ask & ~topic, REASONS[1]).when(_hit(w, SCAM), REASONS[2])
+        F.when(branded, REASONS[0]).when(ask & ~topic, REASONS[1]).when(hit(w, SCAM), REASONS[2])
         .when(pressed & link & ~topic & F.col("claims_attachment").isNotNull(), REASONS[3]).when(topic, REASONS[4])
-        .when(asked & _hit(w, BOILERPLATE) & ~ask, REASONS[5]).when(asked & ~ask, REASONS[6]).when(_hit(w, MARKETING) & ~ask, REASONS[7])
+        .when(asked & hit(w, BOILERPLATE) & ~ask, REASONS[5]).when(asked & ~ask, REASONS[6]).when(hit(w, MARKETING) & ~ask, REASONS[7])
         .when(~link & ~claims & (F.size(words) == 0), REASONS[8]).otherwise(REASONS[9])
     )
     out = out.withColumn("spam_reason", ladder)

@@ -46,3 +46,15 @@ def test_every_signal_of_the_rules_is_used():
 
     used = {s for s, _ in rules.v1_predicates()} | {s for group in rules.v2_predicates().values() for _, s, _ in group}
     assert set(rules.load_rules()["signals"]) <= used
+
+
+def test_spam_ladder_matches_sql_beside_letters_beyond_ascii(spark, tmp_path):
+    texts = ["re itauö und Ñups", "ketoñ", "éconfirm your account", "verıfy your account", "a Vİsa b", "a vısa b", "un kraKen x", "flaſh sales", "action required\rfor your account", "anti aging", "xxx ups", "ñatt @tt", None, "", "ä\nöconfirm your account"]
+    ids = [i for i in range(400) if i % 12 > 8][: 4 * len(texts)]
+    rows = [(i, texts[k % len(texts)], "en", "src0") for k, i in enumerate(ids)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got, _ = plain(catalog.queries()["spam_audit_ladder"](spark, str(tmp_path)).toPandas())
+    want, _ = plain(con.execute(catalog.oracle_sql()["spam_audit_ladder"]).df())
+    assert got == want
