@@ -167,7 +167,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     spread = max(1, blocks.count())  # a slice holds about one block, however many there are
     left = blocks.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(spread)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     right = asked.select("g", F.col("dim").alias("qdim"), F.col("ids").alias("qids"), F.col("data").alias("qdata"), F.col("width").alias("qwidth")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    pairs = left.join(right, ["g", "s"]).select("dim", "ids", "data", "width", "qdim", "qids", "qdata", "qwidth")
+    # never broadcast: Spark sizes a side by its files, before it is repeated for every slice or query block
+    pairs = left.hint("merge").join(right.hint("merge"), ["g", "s"]).select("dim", "ids", "data", "width", "qdim", "qids", "qdata", "qwidth")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple[int, bytes], dict[int, int]] = {}  # each query's best so far, over the blocks of this task

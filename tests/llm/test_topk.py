@@ -79,3 +79,10 @@ def test_repeated_ids_in_different_blocks_count_once(spark, monkeypatch):
     monkeypatch.setattr(T, "BLOCK", 8)
     rng = random.Random(5)
     check(spark, [(i % 60, [rng.gauss(0, 0.4) for _ in range(6)]) for i in range(240)])
+
+
+def test_query_blocks_are_not_broadcast(spark):
+    rng = random.Random(9)
+    df = vectors(spark, [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(200)])
+    plan = T.query(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
