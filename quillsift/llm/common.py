@@ -65,6 +65,11 @@ def staged(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> Dat
     return out
 
 
+def merged(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """left join right, never by a broadcast: for tables that grow with the input, whose files tell Spark less than they take in memory."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def release(spark: SparkSession) -> None:
     """Let go of shuffle files that no plan refers to any more: Spark deletes them once the driver has collected its garbage."""
     spark._jvm.System.gc()

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import stage
+from quillsift.llm.common import merged, stage
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,13 +22,13 @@ def components(links: DataFrame) -> DataFrame:
         roots = stage(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "roots")
         while True:
             up = roots.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            jumped = stage(roots.join(up, "root").select("node", "root", "above"), "roots")
+            jumped = stage(merged(roots, up, "root").select("node", "root", "above"), "roots")
             moved = not jumped.filter("above <> root").isEmpty()
             roots = jumped.select("node", F.col("above").alias("root"))
             if not moved:
                 break
         step = roots.select(F.col("node").alias("component"), "root")
-        found = roots.withColumnRenamed("root", "component") if found is None else stage(found.join(step, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "found")
-        ends = links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+        found = roots.withColumnRenamed("root", "component") if found is None else stage(merged(found, step, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "found")
+        ends = merged(merged(links, roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a"), roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
         links = stage(ends.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).filter("a < b").distinct(), "links")
     return found if found is not None else links.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillsift.llm.bytehash import U64, flat, mix, slices, word_hashes
-from quillsift.llm.common import arrow_batches, packed, row_key, stage
+from quillsift.llm.common import arrow_batches, merged, packed, row_key, stage
 from quillsift.llm.components import components
 
 #: The query's contract, and what the pipeline's stage takes.
@@ -330,7 +330,7 @@ def sweep(rows: DataFrame, exact: bool, least: int, block: int, name: str) -> Da
     if large.isEmpty():
         return found
     comp = components(found)
-    labelled = large.join(comp.select(F.col("node").alias("s"), "component"), "s", "left").withColumn("root", F.coalesce("component", "s")).drop("component")
+    labelled = merged(large, comp.select(F.col("node").alias("s"), "component"), "s", "left").withColumn("root", F.coalesce("component", "s")).drop("component")
     sizes = labelled.groupBy("g", "root").agg(F.count("*").alias("_c"))
     main = sizes.groupBy("g").agg(F.max_by("root", F.struct("_c", "root")).alias("_main"))
     labelled = stage(labelled.join(main, "g"), f"jaccard-{name}-labelled")
@@ -363,13 +363,13 @@ def links(docs: DataFrame, sigs: DataFrame, n: int = N, least: int = LEAST, bloc
     counted = stage(counted, "jaccard-counted")
     # most groups are two classes, which share many shingles: one group for each pair, from the counts alone
     pairs = counted.filter("m = 2").select("pivot", "last").distinct().withColumn("g", F.xxhash64(F.lit(2), "pivot", "last"))
-    held = tokens.join(counted.filter("m > 2").select("g", "m", "pivot"), "g").distinct()
+    held = merged(tokens, counted.filter("m > 2").select("g", "m", "pivot"), "g").distinct()
     held = held.unionByName(pairs.select(F.explode(F.array("pivot", "last")).alias("s"), "g", F.lit(2).cast("long").alias("m"), "pivot"))
-    reps = sigs.select("u", "k", "size", "bits").join(one, "u")
-    ties = sweep(stage(held, "jaccard-shared").join(reps.select("s", "size", F.col("bits").alias("load")), "s"), False, least, block, "ties")
+    reps = merged(sigs.select("u", "k", "size", "bits"), one, "u")
+    ties = sweep(merged(stage(held, "jaccard-shared"), reps.select("s", "size", F.col("bits").alias("load")), "s"), False, least, block, "ties")
     family = stage(components(ties).select(F.col("node").alias("s"), F.col("component").alias("g")), "jaccard-families")
     many = family.groupBy("g").agg(F.count("*").alias("m"), F.min("s").alias("pivot"))
-    wanted = sigs.select("u", "k").join(one.join(family, "s"), "u").drop("u").join(many, "g")
+    wanted = merged(merged(sigs.select("u", "k"), merged(one, family, "s"), "u").drop("u"), many, "g")
     # identical rows share k: one of them is enough
     sets = _shingle_bytes(docs.select("k", "text"), wanted, n).dropDuplicates(["s"]).withColumn("size", F.lit(0))
     return components(sweep(sets, True, least, block, "sets"))
@@ -382,11 +382,11 @@ def labelled(docs: DataFrame, n: int = N, least: int = LEAST, block: int = BLOCK
     sigs = stage(signatures(keyed, hot_shingles(keyed, n), n, least).withColumn("u", F.monotonically_increasing_id()), "jaccard-signatures")
     comp = links(keyed, sigs, n, least, block)
     classes = sigs.filter("s IS NOT NULL").groupBy("s").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_copies"))
-    named = classes.join(comp.select(F.col("node").alias("s"), "component"), "s", "left")
+    named = merged(classes, comp.select(F.col("node").alias("s"), "component"), "s", "left")
     named = stage(named.filter("component IS NOT NULL OR _copies > 1").withColumn("component", F.coalesce("component", "s")), "jaccard-classes")
     least_id = named.groupBy("component").agg(F.min("_first").alias("component_id"))
-    by_class = stage(named.join(least_id, "component").select("s", "component", "component_id"), "jaccard-names")
-    out = sigs.drop("prefix", "bits").join(by_class, "s", "left")
+    by_class = stage(merged(named, least_id, "component").select("s", "component", "component_id"), "jaccard-names")
+    out = merged(sigs.drop("prefix", "bits"), by_class, "s", "left")
     return out.select("doc_id", "k", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component", "s").alias("label"))
 
 
@@ -402,7 +402,7 @@ def keep_one(docs: DataFrame, n: int = STAGE_N, least: int = STAGE_LEAST) -> Dat
     stay = first.select(F.col("_f.k").alias("k"), F.lit(False).alias("_all"))
     stay = stage(stay.unionByName(found.filter("n_shingles = 0").select("k", F.lit(True).alias("_all")).distinct()), "jaccard-stay")
     keyed = packed(docs, "doc_id", "text").withColumn("_k", row_key("doc_id", "text"))
-    kept = keyed.join(stay, F.col("_k") == F.col("k"))
+    kept = keyed.join(stay.hint("merge"), F.col("_k") == F.col("k"))
     # identical rows share k
     order = Window.partitionBy("_k").orderBy("doc_id")
     kept = kept.withColumn("_i", F.row_number().over(order)).filter("_i = 1 OR _all")

@@ -127,3 +127,23 @@ def test_keep_one_by_component_where_doc_ids_repeat(spark):
     rows = [(1, a, "a"), (1, b, "a"), (2, a + " tail", "a"), (3, b, "a"), (None, c, "a"), (None, c, "a"), (None, "", "a"), (None, "", "a")]
     got = sorted((r.doc_id or 0, r.text) for r in J.keep_one(frame(spark, rows)).collect())
     assert got == sorted([(1, a), (1, b), (0, c), (0, ""), (0, "")])
+
+
+def test_tables_that_grow_are_not_broadcast(spark, monkeypatch):
+    from quillsift.llm import components as C
+
+    plans = []
+
+    def seen(df, name, real=J.stage):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return real(df, name)
+
+    monkeypatch.setattr(J, "stage", seen)
+    monkeypatch.setattr(C, "stage", seen)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(words[: 40 - i % 3])) for i in range(6)] + [(9, "alone here")]
+    out = J.query(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r.doc_id, r.component_id) for r in out.collect()} == {(i, 0) for i in range(6)} | {(9, 9)}
+    plans.append(("result", out._jdf.queryExecution().executedPlan().toString()))
+    # whole texts alone may meet a table that is small by its rows, not by its files
+    assert [name for name, plan in plans if "Broadcast" in plan and name != "jaccard-sets"] == []
