@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from re import _parser as regex_parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -148,27 +150,102 @@ def _ascii(pattern: str, flags: str) -> str:
     return f"(?{flags}d)" + pattern.replace(r"\b", _EDGE)
 
 
-def _hit(text: Column, pattern: str, ascii_words: bool = False) -> Column:
-    if ascii_words:  # (?iu) alone takes these two letters for an i
-        return F.coalesce(F.translate(text, "\u0131\u0130", "\u00e9\u00e9").rlike(_ascii(pattern, "iu")), F.lit(False))
-    return F.coalesce(text.rlike("(?iuU)" + pattern), F.lit(False))
+def _top_level(pattern: str) -> list[str]:
+    """The alternatives of a pattern that stand outside of all groups."""
+    out, depth = [""], 0
+    for token in re.findall(r"\\.|\[[^\]]*\]|.", pattern):
+        depth += (token == "(") - (token == ")")
+        if token == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += token
+    return out
+
+
+def _needed(parsed) -> list[str]:
+    """Lower-case ASCII strings of which every match of a parsed pattern holds one; empty if none is known."""
+    runs, found = [""], []
+    for op, value in parsed:
+        kind = str(op)
+        if kind == "LITERAL" and value < 128:
+            runs[-1] += chr(value).lower()
+            continue
+        runs.append("")
+        if kind == "SUBPATTERN":
+            found.append(_needed(value[3]))
+        elif kind == "BRANCH":
+            each = [_needed(branch) for branch in value[1]]
+            found.append(sum(each, []) if all(each) else [])
+        elif kind == "MAX_REPEAT" and value[0] > 0:
+            found.append(_needed(value[2]))
+    found = [f for f in [*([r] for r in runs if r), *found] if f]
+    return max(found, key=lambda f: (min(map(len, f)), -len(f)), default=[])
+
+
+def _swapped(text: Column, letters: str, others: str) -> Column:
+    """translate for rare letters: texts without them are let through."""
+    return F.when(reduce(lambda x, y: x | y, [F.contains(text, F.lit(c)) for c in letters]), F.translate(text, letters, others)).otherwise(text)
+
+
+def _plain(text: Column, ascii_words: bool) -> Column:
+    """(?iu) alone takes these two letters for an i."""
+    return _swapped(text, "\u0131\u0130", "\u00e9\u00e9") if ascii_words else text
+
+
+def _hit(text: Column, folded: Column, pattern: str, ascii_words: bool) -> Column:
+    """Whether a pattern is found in _plain text; its _folded form is searched for each alternative's strings first."""
+    # elements of arrays, as a long chain of ORs is too deep to be compiled
+    any_of = lambda columns: reduce(lambda x, y: x | y, columns) if len(columns) < 4 else F.array_contains(F.array(*columns), True)
+    found = []
+    for part in _top_level(pattern):
+        strings = any_of([F.contains(folded, F.lit(n)) for n in _needed(regex_parser.parse(part)) or [""]])
+        found.append(strings & text.rlike(_ascii(part, "iu") if ascii_words else "(?iuU)" + part))
+    return any_of(found)
+
+
+def _folded(text: Column, ascii_words: bool) -> Column:
+    """Lower case, with a plain letter for those beyond ASCII that _hit takes for one."""
+    return F.lower(_swapped(text, "\u0131\u0130\u017f", "\u00e9\u00e9s" if ascii_words else "iis"))
 
 
 def _lower(text: Column, ascii_words: bool) -> Column:
-    return F.lower(F.translate(text, "\u0130", "i")) if ascii_words else F.lower(text)
+    return F.lower(_swapped(text, "\u0130", "i")) if ascii_words else F.lower(text)
 
 
-def brand_hit(text: Column, from_domain: Column, ascii_words: bool = False) -> Column:
-    """The first brand named as a word in text, look-alike characters included, that the sender's domain does not own."""
+_LOOKALIKES = str.maketrans("l10534@", "iioseaa")
+
+
+def _brand_words(low: Column, brands: list[str]) -> Column:
+    """The ASCII words of a text that are the longest word of a brand."""
+    return F.array_intersect(F.split(low, "[^0-9A-Za-z_]+"), F.array(*[F.lit(w) for w in sorted(set(map(_longest, brands)))]))
+
+
+def _longest(brand: str) -> str:
+    return max(re.findall("[0-9A-Za-z_]+", brand), key=len)
+
+
+def brand_hit(text: Column, from_domain: Column, ascii_words: bool = False, words: tuple[Column, Column] | None = None) -> Column:
+    """The first brand named as a word in text, look-alike characters included, that the sender's domain does not own.
+
+    words: _brand_words of the lower-cased text and of its look-alike form; a brand is only looked for where its word stands.
+    """
     low = _lower(F.coalesce(text, F.lit("")), ascii_words)
     norm = normalize_homoglyphs(low)
     root = domain_root(from_domain)
-    word = lambda t, b: t.rlike(_ascii(rf"\b{re.escape(b)}\b", "")) if ascii_words else _hit(t, rf"\b{re.escape(b)}\b")
-    table = str.maketrans("l10534@", "iioseaa")
+
+    def word(t: Column, b: str, i: int) -> Column:
+        if not ascii_words:
+            return t.rlike(rf"(?iuU)\b{re.escape(b)}\b")
+        found = t.rlike(_ascii(rf"\b{re.escape(b)}\b", ""))
+        if words is None:
+            return found
+        here = F.array_contains(words[i], _longest(b))
+        return here if _longest(b) == b else here & found
+
     found = []
     for brand, domains in BRAND_DOMAINS.items():
         roots = sorted({".".join(d.split(".")[-2:]) for d in domains.split()})
-        named = word(low, brand) | word(norm, brand.translate(table))
+        named = word(low, brand, 0) | word(norm, brand.translate(_LOOKALIKES), 1)
         found.append(F.when(named & ~F.coalesce(root.isin(roots), F.lit(False)), F.lit(brand)))
     return F.get(F.filter(F.array(*found), lambda b: b.isNotNull()), F.lit(0))
 
@@ -176,33 +253,40 @@ def brand_hit(text: Column, from_domain: Column, ascii_words: bool = False) -> C
 def classify(df: DataFrame, ascii_words: bool = False) -> DataFrame:
     """df with likely_spam and spam_reason (one of REASONS), and brand for the first.
 
-    Words end where Unicode ends them ("itauö" is one word, and no brand), or with ascii_words at every letter beyond ASCII.
+    Bodies are read whole. Words end where Unicode ends them ("itauö" is one word, and no brand), or with ascii_words at every letter beyond ASCII.
     Reads subject, display_name, from_domain, body_text, n_urls, claims_attachment, credential_request, urgency (array of keywords).
     """
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     head = F.concat_ws(" ", text("subject"), text("display_name"))
-    start = F.substring(text("body_text"), 1, 400)
-    whole = F.concat_ws(" ", head, F.substring(text("body_text"), 1, 2000))
     topics, asks = "|".join(SPAM_TOPICS), "|".join(CREDENTIAL)
-    out = df.withColumn("_h", head).withColumn("_s", start).withColumn("_w", whole)
+    out = df.withColumn("_h", head).withColumn("_s", text("body_text"))
     h, s, w = F.col("_h"), F.col("_s"), F.col("_w")
-    hit = lambda t, pattern: _hit(t, pattern, ascii_words)
-    brand = F.coalesce(brand_hit(h, F.col("from_domain"), ascii_words), brand_hit(s, F.col("from_domain"), ascii_words))
-    out = out.withColumn("brand", brand).withColumn("_topic", hit(h, topics) | hit(s, topics)).withColumn("_ask", hit(h, asks) | hit(s, asks) | hit(normalize_homoglyphs(_lower(h, ascii_words)), asks))
+    out = out.withColumn("_w", _plain(F.concat_ws(" ", h, s), ascii_words)).withColumn("_n", _plain(normalize_homoglyphs(_lower(h, ascii_words)), ascii_words))
+    # head and body apart: no pattern passes a line feed
+    out = out.withColumn("_t", _plain(F.concat_ws("\n", h, s), ascii_words)).withColumn("_f", _folded(w, ascii_words)).withColumn("_nf", _folded(F.col("_n"), ascii_words))
+    hit = lambda t, pattern, folded="_f": _hit(F.col(t), F.col(folded), pattern, ascii_words)
+    words: dict[str, tuple[Column, Column] | None] = {"_h": None, "_s": None}
+    if ascii_words:
+        for c in words:
+            low = _lower(F.col(c), True)
+            out = out.withColumn(f"{c}_low", _brand_words(low, list(BRAND_DOMAINS))).withColumn(f"{c}_alike", _brand_words(normalize_homoglyphs(low), [b.translate(_LOOKALIKES) for b in BRAND_DOMAINS]))
+            words[c] = F.col(f"{c}_low"), F.col(f"{c}_alike")
+    brand = F.coalesce(*[brand_hit(F.col(c), F.col("from_domain"), ascii_words, words[c]) for c in words])
+    out = out.withColumn("brand", brand).withColumn("_topic", hit("_t", topics)).withColumn("_ask", hit("_t", asks) | hit("_n", asks, "_nf"))
     topic, ask, branded = F.col("_topic"), F.col("_ask"), F.col("brand").isNotNull()
     link = F.coalesce(F.col("n_urls") > 0, F.lit(False))
     asked = F.coalesce(F.col("credential_request"), F.lit(False))
     claims = F.coalesce(F.col("claims_attachment"), F.lit(False))
-    words = F.coalesce(F.transform("urgency", F.lower), F.array().cast("array<string>"))
-    pressed = F.arrays_overlap(words, F.array(*map(F.lit, URGENT)))
+    urgent = F.coalesce(F.transform("urgency", F.lower), F.array().cast("array<string>"))
+    pressed = F.arrays_overlap(urgent, F.array(*map(F.lit, URGENT)))
     ladder = (
-        F.when(branded, REASONS[0]).when(ask & ~topic, REASONS[1]).when(hit(w, SCAM), REASONS[2])
+        F.when(branded, REASONS[0]).when(ask & ~topic, REASONS[1]).when(hit("_w", SCAM), REASONS[2])
         .when(pressed & link & ~topic & F.col("claims_attachment").isNotNull(), REASONS[3]).when(topic, REASONS[4])
-        .when(asked & hit(w, BOILERPLATE) & ~ask, REASONS[5]).when(asked & ~ask, REASONS[6]).when(hit(w, MARKETING) & ~ask, REASONS[7])
-        .when(~link & ~claims & (F.size(words) == 0), REASONS[8]).otherwise(REASONS[9])
+        .when(asked & hit("_w", BOILERPLATE) & ~ask, REASONS[5]).when(asked & ~ask, REASONS[6]).when(hit("_w", MARKETING) & ~ask, REASONS[7])
+        .when(~link & ~claims & (F.size(urgent) == 0), REASONS[8]).otherwise(REASONS[9])
     )
     out = out.withColumn("spam_reason", ladder)
-    return out.withColumn("likely_spam", F.col("spam_reason").isin(*REASONS[4:9])).drop("_h", "_s", "_w", "_topic", "_ask")
+    return out.withColumn("likely_spam", F.col("spam_reason").isin(*REASONS[4:9])).drop("_h", "_s", "_w", "_n", "_t", "_f", "_nf", "_h_low", "_h_alike", "_s_low", "_s_alike", "_topic", "_ask")
 
 
 def top_spam_domains(audited: DataFrame, n: int = 20) -> DataFrame:

@@ -58,3 +58,27 @@ def test_spam_ladder_matches_sql_beside_letters_beyond_ascii(spark, tmp_path):
     got, _ = plain(catalog.queries()["spam_audit_ladder"](spark, str(tmp_path)).toPandas())
     want, _ = plain(con.execute(catalog.oracle_sql()["spam_audit_ladder"]).df())
     assert got == want
+
+
+def test_spam_ladder_reads_whole_texts(spark, tmp_path):
+    far = "lorem ipsum dolor " * 400
+    ends = ["paypal writes", "la poste writes", "enter your pin", "slots and more", "an inheritance", "flash sale", "million euros was a deposit", "shop now", "nothing else"]
+    texts = [f"{far}\n{end}\n{'tail ' * 30}" for end in ends]
+    ids = [i for i in range(400) if i % 12 > 8][: 5 * len(texts)]
+    spark.createDataFrame([(i, texts[k % len(texts)], "en", "src0") for k, i in enumerate(ids)], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    out = catalog.queries()["spam_audit_ladder"](spark, str(tmp_path)).toPandas()
+    got, _ = plain(out)
+    want, _ = plain(con.execute(catalog.oracle_sql()["spam_audit_ladder"]).df())
+    assert got == want
+    assert {"paypal", "la poste"} <= set(out["brand"].dropna())
+    assert {"brand_impersonation", "credential_request", "advance_fee", "spam_topic"} <= set(out["spam_reason"])
+
+
+def test_every_spam_pattern_has_strings_to_look_for():
+    from quillsift.operators import audit
+
+    for pattern in [*audit.SPAM_TOPICS, audit.SCAM, *audit.CREDENTIAL, audit.BOILERPLATE, audit.MARKETING]:
+        for part in audit._top_level(pattern):
+            assert min(map(len, audit._needed(audit.regex_parser.parse(part)))) > 2, part
