@@ -8,7 +8,7 @@ Two texts link when 100 * |A and B| >= LEAST * |A or B| over their sets of disti
    such a shingle in common form a group; a signature tree over the group's bitmaps ties those that may link.
 3. Families. Tied classes form a family; all links lie inside families. Only now are whole sets fetched, once each, and a
    signature tree over a family compares exactly the pairs that its bounds leave.
-4. A group or family of more than BLOCK classes is dealt into blocks. Its smallest class visits every block, and after that
+4. A group or family of more than BLOCK classes is dealt into blocks, SPREAD at most. Its smallest class visits every block, and after that
    all that its main component does not hold: no pair of classes in different components stays unseen.
 
 A signature tree has leaves of one set and nodes of FAN children, each with the OR of the bitmaps and the range of sizes
@@ -41,6 +41,9 @@ KNOWN = U64(1 << 62)
 HOT_LIST, HOT_COUNT = 50_000, 32
 BLOCK, FAN = 256, 8
 GUESTS = 256
+#: Blocks of a group, and parts of its guests, at most: every one of them costs a copy of the other side. Whole sets, which
+#: take more memory than bitmaps, are dealt finer.
+SPREAD, SPREAD_SETS = 16, 64
 _STEPS = mix(np.arange(1, 9, dtype=U64)) | U64(1)
 
 
@@ -317,9 +320,10 @@ def _grouped(rows: DataFrame, keys: list[str], exact: bool, least: int) -> DataF
 def sweep(rows: DataFrame, exact: bool, least: int, block: int, name: str) -> DataFrame:
     """Links (a, b) that connect all pairs of each group g that pass the test.
 
-    rows: g, s, size, load, and of the group: m (how many rows, at least) and pivot (its smallest s).
+    rows: g, s, size, load, and of the group: m (how many rows) and pivot (its smallest s).
     """
-    placed = rows.withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("s", F.lit(3)), F.col("blocks")).cast("int"))
+    spread = SPREAD_SETS if exact else SPREAD
+    placed = rows.withColumn("blocks", F.least(F.ceil(F.col("m") / block), F.lit(spread)).cast("int")).withColumn("block", F.pmod(F.xxhash64("s", F.lit(3)), F.col("blocks")).cast("int"))
     placed = stage(placed.withColumn("root", F.col("s")).drop("m"), f"jaccard-{name}")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cols = ["g", "block", "guest", "s", "root", "size", "load"]
@@ -337,7 +341,7 @@ def sweep(rows: DataFrame, exact: bool, least: int, block: int, name: str) -> Da
     outside = labelled.filter(F.col("root") != F.col("_main"))
     if outside.isEmpty():
         return found
-    n_guests = outside.groupBy("g").agg(F.ceil(F.count("*") / GUESTS).cast("int").alias("_g"))
+    n_guests = outside.groupBy("g").agg(F.least(F.ceil(F.count("*") / GUESTS), F.lit(spread)).cast("int").alias("_g"))
     guests = outside.join(n_guests, "g").withColumn("part", F.pmod(F.xxhash64("s", F.lit(4)), F.col("_g")).cast("int")).withColumn("block", every)
     hosts = labelled.join(n_guests, "g").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
     cols = ["g", "block", "part", "guest", "s", "root", "size", "load"]
@@ -358,12 +362,13 @@ def _shingle_bytes(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 def links(docs: DataFrame, sigs: DataFrame, n: int = N, least: int = LEAST, block: int = BLOCK) -> DataFrame:
     """(node, component) of the classes that link with another class."""
     one = sigs.filter("s IS NOT NULL").groupBy("s").agg(F.min("u").alias("u"))
-    tokens = sigs.filter("s IS NOT NULL").select("s", F.explode("prefix").alias("g"))
+    # one copy speaks for its class, else copies would count as members of the groups
+    tokens = stage(merged(sigs.select("u", "s", "prefix"), one.select("u"), "u").select("s", "prefix"), "jaccard-prefixes").select("s", F.explode("prefix").alias("g"))
     counted = tokens.groupBy("g").agg(F.count("*").alias("m"), F.min("s").alias("pivot"), F.max("s").alias("last")).filter("pivot < last")
     counted = stage(counted, "jaccard-counted")
     # most groups are two classes, which share many shingles: one group for each pair, from the counts alone
     pairs = counted.filter("m = 2").select("pivot", "last").distinct().withColumn("g", F.xxhash64(F.lit(2), "pivot", "last"))
-    held = merged(tokens, counted.filter("m > 2").select("g", "m", "pivot"), "g").distinct()
+    held = merged(tokens, counted.filter("m > 2").select("g", "m", "pivot"), "g")
     held = held.unionByName(pairs.select(F.explode(F.array("pivot", "last")).alias("s"), "g", F.lit(2).cast("long").alias("m"), "pivot"))
     reps = merged(sigs.select("u", "k", "size", "bits"), one, "u")
     ties = sweep(merged(stage(held, "jaccard-shared"), reps.select("s", "size", F.col("bits").alias("load")), "s"), False, least, block, "ties")

@@ -147,3 +147,22 @@ def test_tables_that_grow_are_not_broadcast(spark, monkeypatch):
     plans.append(("result", out._jdf.queryExecution().executedPlan().toString()))
     # whole texts alone may meet a table that is small by its rows, not by its files
     assert [name for name, plan in plans if "Broadcast" in plan and name != "jaccard-sets"] == []
+
+
+def test_copies_are_no_members_of_groups_and_blocks_are_few(spark, monkeypatch):
+    tables = {}
+
+    def seen(df, name, real=J.stage):
+        tables[name] = real(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(J, "stage", seen)
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(words[: 40 - i % 3])) for i in range(300)], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in J.query(docs).collect()} == {(i, 0) for i in range(300)}
+    assert tables["jaccard-ties"].agg({"blocks": "max"}).first()[0] == 1
+    # 30 texts that share a few rare words and link in pairs
+    docs = spark.createDataFrame([(i, " ".join(words[:5] + [f"x{i // 2}y{j}" for j in range(60)] + [f"z{i}"])) for i in range(60)], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in J.join(docs, block=1).collect()}
+    assert got == {(i, i - i % 2) for i in range(60)}
+    assert tables["jaccard-ties"].agg({"blocks": "max"}).first()[0] <= J.SPREAD
